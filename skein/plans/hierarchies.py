@@ -61,7 +61,7 @@ FROM nodes n LEFT JOIN walk w ON n.repo = w.repo AND n.symbol_id = w.symbol_id
 LEFT JOIN counted c ON n.repo = c.repo AND n.symbol_id = c.symbol_id""",
     "p1_descendants": _FOREST
     + """, pairs AS (
-  SELECT repo, unnest(string_split(path, '/')) AS symbol_id, unnest(range(len(string_split(path, '/')))) AS at,
+  SELECT repo, unnest(string_split(path, '/')) AS symbol_id, unnest(range(len(string_split(path, '/')))) AS pos_,
          symbol_id AS descendant_id, depth FROM walk)
-SELECT repo, symbol_id, descendant_id, CAST(depth - at AS BIGINT) AS distance FROM pairs WHERE depth > at""",
+SELECT repo, symbol_id, descendant_id, CAST(depth - pos_ AS BIGINT) AS distance FROM pairs WHERE depth > pos_""",
 }
