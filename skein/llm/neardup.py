@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from skein.runtime import Stage
 
 WORD = re.compile(r"[a-z0-9_]{3,}")
-_PROFILE = "id string, cls binary, total int, elems array<long>, bands array<long>"
+_PROFILE = "id string, cls binary, total int, sketch binary, elems array<long>, bands array<long>"
+_SKETCH = 96
 _U = np.uint64
 
 
@@ -91,7 +92,7 @@ def profile(texts: DataFrame, text_id: str, text: str, min_words: int, bands: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
-        schema = pa.schema([("id", pa.string()), ("cls", pa.binary()), ("total", pa.int32()), ("elems", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.string()), ("cls", pa.binary()), ("total", pa.int32()), ("sketch", pa.binary()), ("elems", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
             names, elems = [], []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -113,7 +114,9 @@ def profile(texts: DataFrame, text_id: str, text: str, min_words: int, bands: in
                 sizes = np.array([len(x) for x in part])
                 flat = np.concatenate(part)
                 owner = np.repeat(np.arange(len(part)), sizes)
-                keys = _band_keys(probminhash(owner, flat, np.ones(len(flat)), len(part), bands * rows), bands)
+                signature = probminhash(owner, flat, np.ones(len(flat)), len(part), bands * rows)
+                keys = _band_keys(signature, bands)
+                sketch = np.ascontiguousarray((signature[:, :_SKETCH] & _U(255)).astype(np.uint8))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 cls = [xxhash.xxh3_128_digest(x.tobytes()) for x in part]
                 yield pa.RecordBatch.from_arrays(
@@ -121,6 +124,7 @@ def profile(texts: DataFrame, text_id: str, text: str, min_words: int, bands: in
                         pa.array(names[at : at + 1024], pa.string()),
                         pa.array(cls, pa.binary()),
                         pa.array(sizes.astype(np.int32)),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel())),
                     ],
@@ -153,9 +157,27 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("cls_1", "cls_2", "elems_1", "elems_2").mapInArrow(run, "cls_1 binary, cls_2 binary, similarity double")
 
 
-def _candidates(banded: DataFrame, block: int) -> DataFrame:
+def _estimate(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose sizes allow the threshold and whose signatures agree in enough registers.
+
+    Of 96 registers, kept as bytes, a pair at the threshold agrees in 96 times the
+    threshold on average; those five standard deviations or more below are left out.
+    """
+    least = threshold - 5 * (threshold * (1 - threshold) / _SKETCH) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = pa.array((a == b).mean(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["cls_1", "cls_2"])
+
+    sizes = F.least("t1", "t2") >= F.lit(threshold) * F.greatest("t1", "t2")
+    return pairs.where(sizes).select("cls_1", "cls_2", "s1", "s2").mapInArrow(run, "cls_1 binary, cls_2 binary")
+
+
+def _candidates(sized: DataFrame, block: int) -> DataFrame:
     """Distinct pairs of classes that share a band; a band of over ``block`` classes is compared block by block."""
-    sized = banded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
     few = sized.where(F.col("n") <= block)
     a = few.select("band", F.col("cls").alias("cls_1"))
     b = few.select("band", F.col("cls").alias("cls_2"))
@@ -181,16 +203,18 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     stage = Stage(texts.sparkSession, "neardup")
     profiles = stage.save(profile(texts, text_id, text, min_words, bands, rows))
     members = profiles.select("id", "cls").distinct()
-    classes = stage.save(profiles.dropDuplicates(["cls"]).select("cls", "total", "elems", "bands"))
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    pairs = stage.save(_candidates(banded, block))
-    one = classes.select(F.col("cls").alias("cls_1"), F.col("elems").alias("elems_1"), F.col("total").alias("t1"))
-    two = classes.select(F.col("cls").alias("cls_2"), F.col("elems").alias("elems_2"), F.col("total").alias("t2"))
-    # No pair whose sizes alone rule the threshold out is carried further.
-    sizes_fit = F.least("t1", "t2") >= F.lit(threshold) * F.greatest("t1", "t2")
-    sized = pairs.join(one.drop("elems_1"), "cls_1").join(two.drop("elems_2"), "cls_2").where(sizes_fit).select("cls_1", "cls_2")
-    links = _verify(sized.join(one.drop("t1"), "cls_1").join(two.drop("t2"), "cls_2"), threshold)
-    return members, stage.save(links)
+    heads = stage.save(profiles.groupBy("cls").agg(F.min("id").alias("id")))
+    first = profiles.join(heads, ["cls", "id"], "left_semi")
+    banded = first.select("cls", F.explode("bands").alias("band"))
+    sized = stage.save(banded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1"))
+    pairs = _candidates(sized, block)
+    one = first.select(F.col("cls").alias("cls_1"), F.col("total").alias("t1"), F.col("sketch").alias("s1"))
+    two = first.select(F.col("cls").alias("cls_2"), F.col("total").alias("t2"), F.col("sketch").alias("s2"))
+    likely = stage.save(_estimate(pairs.join(one, "cls_1").join(two, "cls_2"), threshold))
+    elems_1 = first.select(F.col("cls").alias("cls_1"), F.col("elems").alias("elems_1"))
+    elems_2 = first.select(F.col("cls").alias("cls_2"), F.col("elems").alias("elems_2"))
+    links = _verify(likely.join(elems_1, "cls_1").join(elems_2, "cls_2"), threshold)
+    return members, stage.save(links.dropDuplicates(["cls_1", "cls_2"]))
 
 
 def similar_pairs(members: DataFrame, links: DataFrame, star_above: int = 64) -> DataFrame:
