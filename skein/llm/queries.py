@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import neardup, ranking, syntax
+from skein.llm import neardup, provenance, ranking, syntax
 from skein.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,15 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(heads, "cls").join(n, "cls", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.mark_files(table(spark, d, "chunk_doc")).where("marked").select("repo", "relative_path")
+
+
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every code file with the reason, the forest's score and the mark."""
+    return provenance.mark_files(table(spark, d, "chunk_doc"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check_files(table(spark, d, "chunk_doc")).where("state != 'valid'").select("repo", "relative_path")
 
