@@ -30,6 +30,7 @@ _NEEDED = {"swbody": ("case", "default"), "arms": ("=>",), "for": (";", ":", "of
 _WITHOUT_SEMICOLON = frozenset("args annargs cast params lparams expr type object objpat specs enums slit pstruct fields variants utrees tfields ebody_c arms_c ptuple arrpat partype catch".split())
 _OPEN = {"(": "(", "[": "[", "{": "{"}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
+_CALLED = re.compile(r"\(\?&(\w+)\)")
 _TIED = re.compile(r"\)([*+?]+)(?=\s|$)")
 _BRACKET = re.compile(r"[()\[\]{}]")
 
@@ -51,13 +52,27 @@ class Grammar:
             for i, m in enumerate(modes):
                 self.bit[m] = (bracket, 1 << i)
             base += 1 << len(modes)
-        defined = "".join(f"(?P<{n}>{self._rule(r)})" for n, r in rules.items())
-
-        def rule(text: str) -> regex.Pattern:
-            return regex.compile(f"(?(DEFINE){defined})(?:{self._rule(text)})", regex.V1)
+        written = {n: self._rule(r) for n, r in rules.items()}
+
+        def rule(text: str, raw: str = "") -> regex.Pattern:
+            body = raw or self._rule(text)
+            used, todo = set(), [body]
+            while todo:  # only rules that are reached are compiled
+                fresh = set(_CALLED.findall(todo.pop())) - used
+                used |= fresh
+                todo += [written[n] for n in fresh]
+            defined = "".join(f"(?P<{n}>{written[n]})" for n in written if n in used)
+            return regex.compile(f"(?(DEFINE){defined})(?:{body})" if defined else f"(?:{body})", regex.V1)
+
+        # One pattern for all plain rules: the first character says which of them the rest must fit.
+        plain = [m for modes in groups.values() for m in modes if m not in sequences] + [unit] * (unit not in sequences)
+        chosen = rule("", "|".join(f"{chr(1 + i)}(?&{m})" for i, m in enumerate(plain))).fullmatch
+        mark = {m: chr(1 + i) for i, m in enumerate(plain)}
 
         def whole(mode: str):
-            return _Sequence(rule(sequences[mode][0]), rule(sequences[mode][1])).fullmatch if mode in sequences else rule(f"<{mode}>").fullmatch
+            if mode in sequences:
+                return _Sequence(rule(sequences[mode][0]), rule(sequences[mode][1]) if sequences[mode][1] else None).fullmatch
+            return lambda content, c=mark[mode]: chosen(c + content)
 
         def tried(mode: str) -> tuple:
             need = {self.char[w] for w in _NEEDED.get(mode, ()) if w in self.char}
@@ -145,8 +160,8 @@ class _Sequence:
     seen before, with the same kind after it, is skipped by its length.
     """
 
-    def __init__(self, item: regex.Pattern, tail: regex.Pattern):
-        self.item, self.tail = item.match, tail.fullmatch
+    def __init__(self, item: regex.Pattern, tail: regex.Pattern | None):
+        self.item, self.tail = item.match, tail.fullmatch if tail else None
         self.seen: set[str] = set()
         self.lengths: dict[str, list[int]] = {}
 
@@ -156,7 +171,7 @@ class _Sequence:
         while at < n:
             head = content[at : at + 3]
             for size in self.lengths.get(head, ()):
-                if ended[at : at + size + 1] in seen:
+                if at + size <= n and ended[at : at + size + 1] in seen:
                     at += size
                     break
             else:
@@ -173,7 +188,7 @@ class _Sequence:
                     if size not in known:
                         known.append(size)
                 at = m.end()
-        return self.tail(content[at:]) is not None
+        return self.tail(content[at:]) is not None if self.tail else at == n
 
 
 class _Kinds(dict):
@@ -667,7 +682,7 @@ class Languages:
         g = self.grammar(name)
         if g.fits(text):
             return True
-        if markup and name in ("javascript", "typescript") and _JSX_START.search(text):
+        if markup and name in ("javascript", "typescript") and ("</" in text or "/>" in text) and _JSX_START.search(text):
             return g.fits(_jsx_out(text))
         return False
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skein.runtime import Stage
 
 #: Names of secrets, and formats of well-known tokens.
-_NAME = r"passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|encryption[_-]?key|signing[_-]?key|auth[_-]?key|credential|bearer|passcode"
+_NAME = r"passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|encryption[_-]?key|signing[_-]?key|auth[_-]?key|credential|bearer|passcode|smtp[_-]?pass|(?<![a-z])pass(?![a-z])"
 KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abeoprs]-[0-9A-Za-z-]{16,}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}"
     r"|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|npm_[0-9A-Za-z]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{16,})"
@@ -37,6 +37,9 @@ _OPTION = re.compile(rf"(?:--?[\w-]*(?:{_NAME})[\w-]*|[?&;][\w.-]*(?:{_NAME}|key
 _ASSIGN = re.compile(
     rf"([\w.$-]*(?:{_NAME})[\w-]*)[\"'`\]]*\s*(?:\[\s*\]\s*)?(?::\s*(?:&(?:'?\w+\s+)?|Option<|\[\]|\*)*\w[\w<>\[\]]*\s*=(?![=>])|:=|=>|=(?!=)|:)\s*", re.I
 )
+_DEFINE = re.compile(rf"\s*#\s*define\s+(\w*(?:{_NAME})\w*)\s+(?=\S)", re.I)
+_SETTING = re.compile(r"\s*(?:(?:export|set|ENV|ARG)\s+|[-*#]\s+|//\s*)?[\w.-]*$")
+_CHECKSUM = re.compile(r"sha\d+$|md5$|checksum$|hash$|digest$|icon$", re.I)
 _CALL = re.compile(r"\b\w*(?:log_?in|sign_?in|authenticate|authorize|connect|credential|password|passwd|auth)\w*\s*\(", re.I)
 _PROSE = re.compile(rf"\b[\w -]*(?:{_NAME}|\bkey)\b[\w ]*?\b(?:was|is|are|equals?)\s+[`\"']?([^\s`\"',]+)", re.I)
 _USE = re.compile(rf"[`\"']([^`\"'\s]+)[`\"']\s+(?:as|for|is|works as)\s+(?:the|our|a|my)?\s*[\w -]*(?:{_NAME}|\bkey)\b(?![\w ]*\b(?:path|field|name|pattern|template|url|icon)\b)", re.I)
@@ -44,7 +47,7 @@ _QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`([^`]*)`")
 _NOT_A_SECRET = re.compile(r"(?:path|field|name|file|pattern|regex|template|url|uri|icon|sha256|sha1|md5|checksum|hash|digest|length|len|count|size|ttl|type|label|header|hint|prompt|policy|store|manager|provider|factory|service|count|limit|index|kind|expiry|at)$", re.I)
 _LOOKED_UP = re.compile(r"env|lookup|vault|read|load|fetch|getProperty|config|secrets?\.|\bget\(|prompt|input|ask|file|open\(", re.I)
 _PLACEHOLDER = re.compile(
-    r"[<>{}\[\]|()*]{1}|^\$|^%|\$\{|\{\{|^x{3,}$|^[.*x-]+$|change[_-]?me|replace[_-]?me|your[_-]|placeholder|dummy|sample|redacted|^todo|^fixme|^none$|^null$|^true$|^false$|^undefined$|not[_-]?set|^test$|^example|^insert|\.\.\.|^https?://|^data:|/secrets?/|^projects/", re.I
+    r"<[\w .-]+>|\{[\w. -]*\}|\[[^\]]+\][{*+?]?|\(.*\|.*\)|\[\^|^\$[\w{(]|^%[\w(]+%?$|\$\{|\{\{|^x{3,}$|^[.*x-]+$|change[_-]?me|replace[_-]?me|your[_-]|placeholder|dummy|sample|redacted|^todo|^fixme|^none$|^null$|^true$|^false$|^undefined$|not[_-]?set|^test$|^example|^insert|\.\.\.|^https?://|^data:|/secrets?/|^projects/", re.I
 )
 #: Cheap test in the JVM for rows that may hold anything of the above.
 PREFILTER = rf"(?i)(?:{_NAME}|[?&]key=|AKIA|ASIA|gh[pousr]_|xox[a-z]-|[srp]k_(?:live|test)_|AIza|glpat-|npm_|hf_|eyJ|PRIVATE KEY|://[^\s:/@]*:[^\s/@]+@|Basic |Bearer |log_?in|sign_?in|authenticate|authorize|connect)"
@@ -89,7 +92,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for line in text.split("\n"):
         if len(line) > 7:
             found += [(at + a, at + b, v, r) for a, b, v, r in _in_line(line)]
-        if _ASSIGN.search(line):
+        if _ASSIGN.search(line) or _DEFINE.match(line):
             found += _assigned(text, at, line)
         at += len(line) + 1
     found.sort()
@@ -144,15 +147,16 @@ def _password_like(v: str) -> bool:
 
 def _assigned(text: str, at: int, line: str) -> list[tuple[int, int, str, str]]:
     out = []
-    for m in _ASSIGN.finditer(line):
+    for m in [*_ASSIGN.finditer(line), *_DEFINE.finditer(line)]:
         name = m[1]
-        if _NOT_A_SECRET.search(name):
+        other = bool(_NOT_A_SECRET.search(name))
+        if other and _CHECKSUM.search(name):
             continue
         start = at + m.end()
         rest = text[start : start + 6000]
         first = rest.split("\n", 1)[0]
         wrapper = re.match(r"[\w.:!&\s\[\]<>]*\(?\s*", first).group() if not first[:1] in "\"'`" else ""
-        if wrapper.strip() and _LOOKED_UP.search(first[: len(wrapper) + 1]):
+        if _LOOKED_UP.search(wrapper) and re.search(r"[(\[.]\s*$|^(?:process|os|std|import\.meta)\b.*env", first[: len(wrapper) + 1]):
             continue
         body = re.match(r"(?:\s*(?:\"\"|''|[|>][+-]?|\(|\\|\+|\.|[\w.:!]+\(|(?:b|r|u|f|L)(?=[\"'])|&)\s*)*", rest).group()
         here = rest[len(body) :]
@@ -168,12 +172,13 @@ def _assigned(text: str, at: int, line: str) -> list[tuple[int, int, str, str]]:
                 stop = nxt.end()
             if PEM.search(pieces) or KNOWN.search(v):
                 continue
-            if structured(pieces, True) and _value_fits(name, pieces):
+            if structured(pieces, True) and _value_fits(name, pieces) and (not other or _looks_random(pieces)):
                 s = start + len(body) + 1
                 out.append((s, start + len(body) + stop - 1, pieces, "assigned"))
             continue
         bare = re.match(r"[^\s\"'`;,#]+", here)
-        if bare and ("\n" not in body or "|" in body or ">" in body) and not wrapper.strip().endswith("("):
+        own_line = _SETTING.match(line[: m.start(1)]) and re.match(r"\s*(?:[;,]\s*)?(?:#.*)?(?:\n|\Z)", here[bare.end() :]) if bare else None
+        if own_line and not other and here[0] not in ":[(=|>&*!" and ("\n" not in body or "|" in body or ">" in body) and not wrapper.strip().endswith("("):
             v = bare.group()
             if structured(v, True) and not re.match(r"[\w.:]+[(\[]", v) and _value_fits(name, v) and not re.fullmatch(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+|[A-Za-z_]+\d{0,2}", v):
                 out.append((start + len(body), start + len(body) + len(v), v, "assigned"))
