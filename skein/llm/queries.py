@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import neardup, provenance, ranking, syntax
+from skein.llm import neardup, provenance, ranking, secrets, syntax
 from skein.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def p4_files(spark: SparkSession, d: str) -> DataFrame:
     return provenance.mark_files(table(spark, d, "chunk_doc"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.detect(table(spark, d, "chunk_doc"), table(spark, d, "vector_doc")).select("tab", "id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact(table(spark, d, "chunk_doc"), table(spark, d, "vector_doc"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check_files(table(spark, d, "chunk_doc")).where("state != 'valid'").select("repo", "relative_path")
 
