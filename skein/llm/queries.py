@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import neardup, provenance, ranking, secrets, syntax
+from skein.llm import neardup, provenance, ranking, secrets, syntax, vectors
 from skein.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,16 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(syntax.check_files(table(spark, d, "chunk_doc")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.neighbours(table(spark, d, "vector_doc"), "id", "vector")
+    return near.select(F.least("id", "neighbour").alias("id_1"), F.greatest("id", "neighbour").alias("id_2")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every id's most similar others with their similarity."""
+    return vectors.neighbours(table(spark, d, "vector_doc"), "id", "vector").withColumn("similarity", F.round("similarity", 6))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
