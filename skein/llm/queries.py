@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import neardup, provenance, ranking, secrets, syntax, vectors
-from skein.runtime import table
+from skein.llm import mixing, neardup, packing, provenance, ranking, secrets, splitting, syntax, tokens, vectors
+from skein.runtime import Stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,44 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbours(table(spark, d, "vector_doc"), "id", "vector").withColumn("similarity", F.round("similarity", 6))
 
 
+def _limits(spark: SparkSession, d: str) -> dict[str, int]:
+    """The named sizes; the table has a row for each and does not grow."""
+    return {r["limit_name"]: int(r["n_tokens"]) for r in table(spark, d, "size_limit").where("limit_name is not null and n_tokens is not null").limit(100).collect()}
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of all documents, counted once."""
+    docs = table(spark, d, "documents").select("doc_id", mixing.source_key(F.col("source")).alias("source"), "text")
+    return Stage(spark, "sizes").save(tokens.counted(docs, ["doc_id", "source"], "text"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's (or oversized text's part's) container."""
+    return packing.pack(_sized(spark, d), _limits(spark, d)["container_capacity"])
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    sized, capacity = _sized(spark, d), _limits(spark, d)["container_capacity"]
+    return packing.report(sized, packing.pack(sized, capacity), capacity)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every taken copy of a text with its training position."""
+    sized = _sized(spark, d)
+    return mixing.mix(sized, mixing.plan(sized, table(spark, d, "mix_target")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized = _sized(spark, d)
+    plan = mixing.plan(sized, table(spark, d, "mix_target"))
+    return mixing.shares(mixing.mix(sized, plan), plan)
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = _limits(spark, d)
+    return splitting.split_all(table(spark, d, "documents"), limits["piece_limit"], limits["piece_overlap"])
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
