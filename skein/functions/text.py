@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Extension to language; everything else is ``text``.
 LANGUAGES = {
@@ -117,7 +118,7 @@ def line_slice(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(lines(text), first, last - first + 1), "\n")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def xxh3(text: pd.Series) -> pd.Series:
     """Hex of the 128-bit xxh3 hash of the UTF-8 bytes; Spark has no such function."""
     return text.map(lambda t: None if t is None else xxhash.xxh3_128_hexdigest(t.encode()))

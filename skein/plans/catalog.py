@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import hierarchies
+from skein.plans import code, hierarchies, scalars, search, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [hierarchies]
+_MODULES = [search, scalars, code, upkeep, hierarchies]
 
 
 def queries() -> dict[str, Query]:
