@@ -1,8 +1,8 @@
 """Forests from parent-child rows, by distributed tree contraction.
 
-A round rakes every leaf of the live forest and then splices an independent set
-out of its unary chains (a node with one child and a parent that is not spliced
-in the same round). Each removal is recorded as ``(node, anchor, between)``:
+A round splices an independent set out of the unary chains of the live forest (a
+node with one child and a parent that is not spliced in the same round) and
+rakes every leaf. Each removal is recorded as ``(node, anchor, between)``:
 the live node it hung from and the nodes already spliced out between the two.
 The live part shrinks geometrically, so the number of rounds is logarithmic in
 the number of nodes, for deep chains as well as for wide stars. A core that no
@@ -69,33 +69,33 @@ def resolve_forest(links: DataFrame, with_path: bool = False) -> DataFrame:
         ).first()
         if counts["all"] == 0:
             break
-        stage.drop(live)
         if counts["roots"]:
             roots.append(state.where("n = 0 and parent is null").select("scope", "node"))
-        if counts["leaves"] > counts["roots"]:
-            records.append(state.where("n = 0 and parent is not null").select("scope", "node", F.col("parent").alias("anchor"), "between"))
-        rest = state.where("n > 0")
-        if counts["open"] == 0:
-            live = stage.save(rest.select("scope", "node", "parent", "between"))
+        if counts["open"] == 0 and counts["leaves"] == 0:
+            live = state.select("scope", "node", "parent", "between")
             break
         # Splicing: unary, not a root, not a self-loop, chosen by coin while its parent is not.
         coin = F.pmod(F.xxhash64("scope", "node", F.lit(number)), F.lit(2)) == 0
         unary = (F.col("n") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-        marked = rest.withColumn("head", unary & coin)
+        marked = state.withColumn("head", unary & coin)
         heads = marked.where("head").select("scope", "node", F.col("parent").alias("up"), F.col("between").alias("above"), "child")
         firm = marked.where("not head").select("scope", F.col("node").alias("up"))
         spliced = stage.save(heads.join(firm, ["scope", "up"], "left_semi"))
-        records.append(spliced.select("scope", "node", F.col("up").alias("anchor"), F.col("above").alias("between")))
         moved = spliced.select("scope", F.col("child").alias("node"), F.col("node").alias("gone"), "up", "above")
-        survivors = rest.join(spliced.select("scope", "node"), ["scope", "node"], "left_anti")
-        live = stage.save(
+        survivors = state.where("not (n = 0 and parent is null)").join(spliced.select("scope", "node"), ["scope", "node"], "left_anti")
+        # Leaves are raked from where they hang after the splicing, so all anchors of a round outlive it.
+        step = stage.save(
             survivors.join(moved, ["scope", "node"], "left").select(
                 "scope",
                 "node",
                 F.coalesce("up", "parent").alias("parent"),
                 F.when(F.col("gone").isNull(), F.col("between")).otherwise(F.concat("above", F.array("gone"), "between")).alias("between"),
+                (F.col("n") == 0).alias("leaf"),
             )
         )
+        raked = step.where("leaf").select("scope", "node", F.col("parent").alias("anchor"), "between")
+        records.append(raked.unionByName(spliced.select("scope", "node", F.col("up").alias("anchor"), F.col("above").alias("between"))))
+        live = step.where("not leaf").drop("leaf")
     else:
         raise RuntimeError("the forest did not contract")
     path: Column = F.array("node") if with_path else F.array().cast("array<string>")

@@ -26,7 +26,7 @@ def latest_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_filters(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.filtered(_symbols(spark, d), prefix="src", language="python", kind="function", container="e").select("repo", "symbol_id", "name")
+    return symbols.filtered(_symbols(spark, d), prefix="src", language="java", kind="method", container="e").select("repo", "symbol_id", "name")
 
 
 def symbol_to_chunk(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +133,15 @@ QUERIES = {
     for f in (latest_symbols, symbol_filters, symbol_to_chunk, symbol_rows_joined, outline_tree, line_index, literal_matches, literal_matches_any_case, literal_whole_word, text_search_topk, narrowest_symbol, match_pick, anchor_rank, line_histogram, neighbor_context, chunk_overlap, window_ready, line_slices)
 }
 SQL = {
+    "outline_tree": f"""WITH RECURSIVE {LATEST},
+nodes AS (SELECT a.repo, a.symbol_id, b.symbol_id AS parent FROM latest a LEFT JOIN latest b ON a.repo = b.repo AND a.parent_symbol_id = b.symbol_id AND b.relative_path IS NOT NULL WHERE a.relative_path IS NOT NULL),
+walk AS (SELECT repo, symbol_id, CAST(0 AS BIGINT) AS depth FROM nodes WHERE parent IS NULL UNION ALL SELECT n.repo, n.symbol_id, w.depth + 1 FROM walk w JOIN nodes n ON n.repo = w.repo AND n.parent = w.symbol_id),
+shown AS (SELECT l.repo, l.relative_path, l.symbol_id, l.name, l.kind, l.start_line, l.end_line, w.depth FROM latest l JOIN walk w ON l.repo = w.repo AND l.symbol_id = w.symbol_id WHERE w.depth <= 2),
+o AS (SELECT *, sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, relative_path ORDER BY start_line NULLS FIRST, end_line DESC NULLS LAST, name NULLS FIRST, symbol_id ROWS UNBOUNDED PRECEDING) AS top_ FROM shown),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo, relative_path ORDER BY start_line NULLS FIRST, end_line DESC NULLS LAST, name NULLS FIRST, symbol_id) AS position FROM o WHERE top_ <= 8)
+SELECT repo, relative_path, position, symbol_id, name, kind, depth FROM n WHERE position <= 12""",
     "latest_symbols": f"WITH {LATEST} SELECT repo, symbol_id, relative_path, name, kind, container, parent_symbol_id FROM latest",
-    "symbol_filters": f"WITH {LATEST} SELECT repo, symbol_id, name FROM latest WHERE starts_with(relative_path, 'src') AND language = 'python' AND kind = 'function' AND contains(lower(container), 'e')",
+    "symbol_filters": f"WITH {LATEST} SELECT repo, symbol_id, name FROM latest WHERE starts_with(relative_path, 'src') AND language = 'java' AND kind = 'method' AND contains(lower(container), 'e')",
     "symbol_to_chunk": f"""WITH {LATEST}, {_C},
 j AS (SELECT s.repo, s.symbol_id, c.id, greatest(c.start_line - s.start_line, s.start_line - c.end_line, 0) AS d, c.start_line AS a, c.end_line AS b
   FROM latest s LEFT JOIN c ON s.repo = c.repo AND s.relative_path = c.relative_path WHERE s.start_line IS NOT NULL),
