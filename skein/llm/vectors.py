@@ -147,7 +147,7 @@ def valid_vectors(rows: DataFrame, vec_id: str, vector: str, width: int) -> Data
     return one.select("id", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).alias("cls"), "v")
 
 
-def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: int = 5, least: float = 0.8, slack: float = 0.15, shards: int = 16, sample_rows: int = 4096, part_rows: int = 50_000) -> DataFrame:
+def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: int = 5, least: float = 0.8, slack: float = 0.15, shards: int = 8, sample_rows: int = 4096, part_rows: int = 50_000) -> DataFrame:
     """``id, neighbour, similarity``: for every valid id its ``k`` most similar others of at least ``least``; ties by smaller id.
 
     ``shards`` cuts of the space come from a sample of at most about
