@@ -53,7 +53,7 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, ig
     kept = named.where(T.extension(F.col("relative_path")).isin(*(extensions or EXTENSIONS)) & ~F.col("relative_path").rlike(r"(?:^|/)\."))
     for p in ignore_patterns(root, ignore):
         kept = kept.where(~F.col("relative_path").rlike(glob_regex(p)))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     sound = F.expr("is_valid_utf8(cast(content as string))") & ~F.contains(F.col("content"), F.lit(b"\x00"))
     out = kept.where(sound).select(F.lit(root).alias("repo"), "relative_path", text.alias("text"), "bytes")
     return out.where(~F.col("text").startswith(_LFS)).select("repo", "relative_path", "text", T.xxh3(F.col("text")).alias("file_hash"), "bytes")
