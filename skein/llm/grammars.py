@@ -247,15 +247,11 @@ _BLOCK_COMMENT = r"/\*.*?\*/"
 _JAVA_OPS = "; , . ... @ = + - * / % & | ^ ! ~ ? : :: -> ++ -- += -= *= /= %= &= |= ^= << <<= >>= >>>= == != <= >= < > && ||"
 _JAVA_PRIM = "int long double float boolean byte char short void"
 JAVA_RULES = {
-    "id": "ID | record",
+    "id": "ID | record | yield",
     "prim": " | ".join(_JAVA_PRIM.split()),
     "name": "<id> ( '. <id> )*",
     "ann": "@ <name> ( @args | @annargs ) ?",
-    "arg0": "( <id> | <prim> ) ( '. <id> )* ( < > | < ( <id> | <prim> | '? ) ( '. <id> | , <id> | , '? | @index )* > ) ? ( @index ) *",
-    "arg1": "'? ( ( extends | super ) <arg0> ) ? | <arg0>",
-    "targ0": "< ( ( <arg1> ) ( , <arg1> )* ) ? >",
-    "type0": "( <id> <targ0> ? ( '. <id> <targ0> ? )* | <prim> ) @index *",
-    "arg2": "<ann> * ( '? ( ( extends | super ) <type0> ) ? | <type0> ( '& <type0> )* )",
+    "arg2": "<ann> * ( '? ( ( extends | super ) <type> ) ? | <type> ( '& <type> )* )",
     "targs": "< ( ( <arg2> ) ( , <arg2> )* ) ? >",
     "type": "( <ann> * <id> <targs> ? ( '. <id> <targs> ? )* | <prim> ) @index *",
     "tparams": "< <id> ( extends <type> ( '& <type> )* ) ? ( , <id> ( extends <type> ( '& <type> )* ) ? )* >",
@@ -282,7 +278,7 @@ JAVA_RULES = {
     "res": "( <mods> <type> <id> = <expr> | <expr> ) ( ; ( <mods> <type> <id> = <expr> | <expr> ) )* ; ?",
     "catch": "<mods> <type> ( '| <type> )* <id>",
     "heads": "( if @expr | else | while @expr | for @for | <id> : )*",
-    "simple": "@block | ; | return <expr> ? ; | throw <expr> ; | ( break | continue ) <id> ? ; | assert <expr> ( : <expr> ) ? ; | <decl> ; | <expr> ; | try @res ? @block ( catch @catch @block )* ( finally @block ) ? | switch @expr @swbody | do @block while @expr ; | synchronized @expr @block | <class>",
+    "simple": "@block | ; | return <expr> ? ; | yield <expr> ; | throw <expr> ; | ( break | continue ) <id> ? ; | assert <expr> ( : <expr> ) ? ; | <decl> ; | <expr> ; | try @res ? @block ( catch @catch @block )* ( finally @block ) ? | switch @expr @swbody | do @block while @expr ; | synchronized @expr @block | <class>",
     "stmt": "(?> <heads> ( <simple> ) )",
     "block": "( <stmt> )*+",
     "caselabel": "case ( <expr> | <type> <id> | null ) ( , ( <expr> | default ) )* | default",
@@ -350,14 +346,12 @@ GO_RULES = {
     "id": "ID",
     "qid": "<id> ( '. <id> ) ?",
     "tpre": "( '* | @index | @arr | map @index | map @targs | chan | <- chan | chan <- )*",
-    "func_t": "func @params ( <result0> ) ?",
-    "type0": "<tpre> ( <qid> @targs ? | struct @sbody | interface @ibody | @partype | func @params )",
-    "result0": "<type0> | @params",
-    "type": "<tpre> ( <qid> @targs ? | struct @sbody | interface @ibody | @partype | func @params ( <result0> ) ? )",
+    "func_t": "func @params ( <result> ) ?",
+    "type": "<tpre> ( <qid> @targs ? | struct @sbody | interface @ibody | @partype | func @params ( <result> ) ? )",
     "result": "<type> | @params",
-    "lit_t": "( @index | @arr | map @index | map @targs ) <type0> | struct @sbody | <qid> @targs ?",
-    "prim_e": "func @params ( <result> ) ? @block | NUM | STR | ( @index | @arr | map @index ) <type0> ( @lit | (?= @args ) ) | struct @sbody @lit | <qid> @targs ? @lit | <id> | @expr | @partype (?= @args ) | ( interface @ibody | chan <type0> | map @index <type0> ) (?= @args )",
-    "prim_n": "func @params ( <result> ) ? @block | NUM | STR | ( @index | @arr | map @index ) <type0> ( @lit | (?= @args ) ) | <id> | @expr | ( interface @ibody | chan <type0> | map @index <type0> ) (?= @args )",
+    "lit_t": "( @index | @arr | map @index | map @targs ) <type> | struct @sbody | <qid> @targs ?",
+    "prim_e": "func @params ( <result> ) ? @block | NUM | STR | ( @index | @arr | map @index ) <type> ( @lit | (?= @args ) ) | struct @sbody @lit | <qid> @targs ? @lit | <id> | @expr | @partype (?= @args ) | ( interface @ibody | chan <type> | map @index <type> ) (?= @args )",
+    "prim_n": "func @params ( <result> ) ? @block | NUM | STR | ( @index | @arr | map @index ) <type> ( @lit | (?= @args ) ) | <id> | @expr | ( interface @ibody | chan <type> | map @index <type> ) (?= @args )",
     "post": "'. <id> | '. @tassert | @args | @index | @slice | @targs",
     "un": "( '+ | - | ! | ^ | '* | '& | <- )*",
     "operand": "(?> <un> ( <prim_e> ) ( <post> )* )",
@@ -379,7 +373,7 @@ GO_RULES = {
     "arr": "'...",
     "slice": "<expr> ? : <expr> ? ( : <expr> ) ?",
     "targs": "( <type> ( , <type> )* | <id> ( , <id> )* <con> ( , <id> ( , <id> )* <con> )* ) , ?",
-    "con": "~ ? <type0> ( '| ~ ? <type0> )*",
+    "con": "~ ? <type> ( '| ~ ? <type> )*",
     "litval": "<expr> | @lit",
     "litem": "( ( <litval> ) : ) ? ( <litval> )",
     "lit": "( <litem> ( , <litem> )* , ? ) ; ? | ",
@@ -412,17 +406,13 @@ RUST_RULES = {
     "seg": "<id> | self | super | crate | Self",
     "attr": "'# ! ? @any",
     "lt": "LIFETIME",
-    "arg0": "<lt> | NUM | STR | @array | ( ( '& | && ) <lt> ? mut ? )* ( dyn | impl ) ? ( <seg> ( :: <seg> )* ( < ( <seg> | <lt> | , | :: | '& | @any )* > ) ? | @any )",
-    "targ0": "< ( ( <id> = ) ? ( <arg0> ) ( '+ <arg0> )* ( , ( <id> = ) ? ( <arg0> ) ( '+ <arg0> )* )* , ? ) ? >",
-    "path0": ":: ? <seg> ( :: ( <seg> ) )* ( :: ? <targ0> ( :: <seg> )* ) ? ( @any -> ( <arg0> ) | (?! @block ) @ptuple ) ?",
-    "bare0": "( '* ( const | mut ) | ( '& | && ) <lt> ? mut ? )* ( ( dyn | impl ) ? ( <lt> '+ )* ( '? ? <path0> ) ( '+ ( <lt> | '? ? <path0> ) )* | @tytuple | @array | ! | _ | unsafe ? ( extern STR ? ) ? fn @tytuple ( -> <arg0> ) ? )",
-    "targs": "< ( ( <lt> | ( <id> ( = | : ) ) ? <bare0> | NUM | - NUM | STR | @block ) ( , ( <lt> | ( <id> ( = | : ) ) ? <bare0> | NUM | @block ) )* , ? ) ? >",
-    "qself": "< <bare0> ( as <bare0> ) ? >",
+    "targs": "< ( ( <lt> | ( <id> ( = | : ) ) ? <type> | NUM | - NUM | STR | @block ) ( , ( <lt> | ( <id> ( = | : ) ) ? <type> | NUM | @block ) )* , ? ) ? >",
+    "qself": "< <type> ( as <type> ) ? >",
     "path": "( :: | <qself> :: ) ? <seg> ( :: ( <seg> | <targs> ) )*",
-    "tpath": "( :: | <qself> :: ) ? <seg> ( :: ? <targs> ) ? ( :: <seg> ( :: ? <targs> ) ? )* ( @tytuple ( -> <bare0> ) ? ) ?",
+    "tpath": "( :: | <qself> :: ) ? <seg> ( :: ? <targs> ) ? ( :: <seg> ( :: ? <targs> ) ? )* ( @tytuple ( -> <type> ) ? ) ?",
     "bound": "<lt> | '? ? ( for < ( <lt> , ? )* > ) ? <tpath> | @tytuple",
     "bounds": "( <bound> ) ( '+ <bound> )* '+ ?",
-    "type": "( '* ( const | mut ) | ( '& | && ) <lt> ? mut ? )* ( ( dyn | impl ) <bounds> | <tpath> ( ! @any ) ? | @tytuple | @array | ! | _ | ( for < ( <lt> , ? )* > ) ? unsafe ? ( extern STR ? ) ? fn @tytuple ( -> <bare0> ) ? )",
+    "type": "( '* ( const | mut ) | ( '& | && ) <lt> ? mut ? )* ( ( dyn | impl ) <bounds> | <tpath> ( ! @any ) ? | @tytuple | @array | ! | _ | ( for < ( <lt> , ? )* > ) ? unsafe ? ( extern STR ? ) ? fn @tytuple ( -> <type> ) ? )",
     "gparam": "<attr> * ( <lt> ( : <lt> ( '+ <lt> )* ) ? | const <id> : <type> ( = ( NUM | @block | <id> ) ) ? | <id> ( : <bounds> ? ) ? ( = <type> ) ? )",
     "generics": "< ( <gparam> ( , <gparam> )* , ? ) ? >",
     "wpred": "( <lt> : <lt> ( '+ <lt> )* | ( for < ( <lt> , ? )* > ) ? <type> : <bounds> ? )",
@@ -434,7 +424,7 @@ RUST_RULES = {
     "mac": "<path> ! @any",
     "prim_n": "NUM | STR | true | false | <mac> | <path> | @args | @array | ( unsafe | async move ? | const | loop ) @block",
     "post": "'. ( <id> | await ) ( :: <targs> ) ? | '. NUM | '? | @args | @index",
-    "cast": "( as <bare0> )*",
+    "cast": "( as <type> )*",
     "operand_n": "(?> <un> ( <prim_n> ) ( <post> )* <cast> | ( return | break <lt> ? | continue <lt> ? | .. ) )",
     "bin": "= | '+ | - | '* | / | % | '& | '| | ^ | << | > > | < | > | <= | >= | == | != | && | '|| | += | -= | *= | /= | %= | &= | |= | ^= | <<= | >>= | .. | ..=",
     "cond": "( let <pat> = ) ? <operand_n> ( ( && let <pat> = | <bin> ) <operand_n> )*+ ( .. (?= @block ) ) ?",
@@ -543,10 +533,7 @@ JS_RULES = {
     "unit": "[;NL]* ( <stmt> )*+",
 }
 TS_RULES = JS_RULES | {
-    "arg0": "( typeof | keyof | readonly | unique )* ( <id> ( '. <id> )* ( < ( <id> | STR | NUM | null | void | '| | '. | , | @array | @tuple | @objtype )* > ) ? | STR | NUM | null | void | this | true | false | @objtype | @tuple | @partype ) ( @tuple | @array )*",
-    "args0": "<arg0> ( ( '| | '& ) <arg0> )*",
-    "targ0": "< <args0> ( , <args0> )* , ? >",
-    "atom": "( typeof | keyof | readonly | unique | infer | asserts | new | abstract )* ( ( <id> | this ) is ) ? ( import @args ? ( '. <id> )* <targ0> ? | <id> ( '. <any_name> )* <targ0> ? | STR | NUM | - NUM | null | void | this | true | false | @objtype | @tuple | @partype | <targ0> ? @params => <n> <args0> ) ( @tuple | @array )*",
+    "atom": "( typeof | keyof | readonly | unique | infer | asserts | new | abstract )* ( ( <id> | this ) is ) ? ( import @args ? ( '. <id> )* <targs> ? | <id> ( '. <any_name> )* <targs> ? | STR | NUM | - NUM | null | void | this | true | false | @objtype | @tuple | @partype | <targs> ? @params => <n> <type> ) ( @tuple | @array )*",
     "union": "( '| | '& ) ? <atom> ( <n> ( '| | '& ) <n> <atom> )*",
     "type": "<union> ( <n> extends <union> <n> '? <n> <union> <n> : <n> <union> ( extends <union> <n> '? <n> <union> <n> : <n> <union> )* ) ?",
     "targs": "< <type> ( , <type> )* , ? >",
@@ -698,7 +685,7 @@ def python_fits(text: str) -> bool:
 
 
 def _java() -> Grammar:
-    keywords = "package import static public private protected final abstract synchronized native default volatile transient strictfp class interface enum record extends implements throws throw new return if else while for do try catch finally switch case break continue assert instanceof this super true false null goto const " + _JAVA_PRIM
+    keywords = "yield package import static public private protected final abstract synchronized native default volatile transient strictfp class interface enum record extends implements throws throw new return if else while for do try catch finally switch case break continue assert instanceof this super true false null goto const " + _JAVA_PRIM
     text_block = r'"""(?:[^\\]|\\.)*?"""'
     tokens = "|".join([r"//[^\n]*", _BLOCK_COMMENT, text_block, _STRING, _CHAR, _NUM, r"(?:[^\W\d]|\$)(?:\w|\$)*", _ops(_JAVA_OPS), r"[()\[\]{}]", r"\S"])
     groups = {"(": ["args", "annargs", "cast", "params", "lparams", "expr", "for", "res", "catch"], "[": ["index"], "{": ["block", "cbody", "ebody", "init", "swbody"]}
