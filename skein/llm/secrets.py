@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from skein.runtime import Stage
 
 #: Names of secrets, and formats of well-known tokens.
-_NAME = r"passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|encryption[_-]?key|signing[_-]?key|auth[_-]?key|credential|bearer|passcode|smtp[_-]?pass|(?<![a-z])pass(?![a-z])"
+_NAME = r"passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|encryption[_ -]?key|signing[_ -]?key|auth[_ -]?key|credential|bearer|passcode|smtp[_-]?pass|(?<![a-z])pass(?![a-z])"
 KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abeoprs]-[0-9A-Za-z-]{16,}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}"
-    r"|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|npm_[0-9A-Za-z]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{16,})"
+    r"|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|npm_[0-9A-Za-z]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|whsec_[A-Za-z0-9+/=]{16,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{24,}|shp(?:at|ss|ca|pa)_[0-9a-fA-F]{32}|dop_v1_[0-9a-f]{64}|ya29\.[\w-]{20,}|sq0(?:csp|atp)-[\w-]{22,}|pypi-[\w-]{40,}|dckr_pat_[\w-]{20,}|lin_api_[A-Za-z0-9]{32,}|xapp-[0-9A-Za-z-]{16,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{16,})"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>{}]*:([^\s/@\"'`]+)@[\w.-]", re.I)
@@ -50,7 +50,7 @@ _PLACEHOLDER = re.compile(
     r"<[\w .-]+>|\{[\w. -]*\}|\[[^\]]+\][{*+?]?|\(.*\|.*\)|\[\^|^\$[\w{(]|^%[\w(]+%?$|\$\{|\{\{|^x{3,}$|^[.*x-]+$|change[_-]?me|replace[_-]?me|your[_-]|placeholder|dummy|sample|redacted|^todo|^fixme|^none$|^null$|^true$|^false$|^undefined$|not[_-]?set|^test$|^example|^insert|\.\.\.|^https?://|^data:|/secrets?/|^projects/", re.I
 )
 #: Cheap test in the JVM for rows that may hold anything of the above.
-PREFILTER = rf"(?i)(?:{_NAME}|[?&]key=|AKIA|ASIA|gh[pousr]_|xox[a-z]-|[srp]k_(?:live|test)_|AIza|glpat-|npm_|hf_|eyJ|PRIVATE KEY|://[^\s:/@]*:[^\s/@]+@|Basic |Bearer |log_?in|sign_?in|authenticate|authorize|connect)"
+PREFILTER = rf"(?i)(?:{_NAME}|[?&]key=|AKIA|ASIA|gh[pousr]_|xox[a-z]-|[srp]k_(?:live|test)_|AIza|glpat-|npm_|hf_|whsec_|sk-|shp[a-z]{{2}}_|dop_v1_|ya29|sq0|pypi-|dckr_|lin_api|xapp-|eyJ|PRIVATE KEY|://[^\s:/@]*:[^\s/@]+@|Basic |Bearer |log_?in|sign_?in|authenticate|authorize|connect)"
 ROWS = "tab string, id string, owner string, line_no long, start long, stop long, value string, rule string"
 
 
