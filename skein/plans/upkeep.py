@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import embed
+from skein.functions import text as T
 from skein.operators import state
 from skein.runtime import table
+from skein.sources import scan
 
 KEY = ["repo", "relative_path"]
 
@@ -114,6 +117,25 @@ def distinct_files_of_stores(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, KEY, "full_outer").fillna(False, ["in_chunks", "in_symbols"]).groupBy("in_chunks", "in_symbols").agg(F.count(F.lit(1)).alias("n"))
 
 
+def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions in the text of every chunk."""
+    files = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select("repo", F.concat_ws("#", "id", "relative_path").alias("relative_path"), F.col("content").alias("text"))
+    made = scan.chunks_and_symbols(files).where("name is not null")
+    return made.select(T.symbol_id(F.col("relative_path"), F.col("kind"), F.col("name"), F.col("start_line"), F.col("end_line")).alias("symbol_id"), "repo", "relative_path", "kind", "name", "container", "start_line", "end_line")
+
+
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents, which are files of their source here."""
+    docs = table(spark, d, "documents").where("text is not null")
+    files = docs.select(F.coalesce("source", F.lit("")).alias("repo"), F.coalesce("relative_path", F.concat(F.lit("doc_"), "doc_id")).alias("relative_path"), "text")
+    return scan.chunks_and_symbols(files).select("repo", "relative_path", "start_line", "end_line", F.length("content").cast("long").alias("size"))
+
+
+def embed_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", embed.embed(F.col("text"), embed.HashingEmbedder(64)).alias("vector"))
+
+
 _I = "old AS (SELECT repo, relative_path, max(file_hash) AS h0 FROM chunk_doc WHERE relative_path IS NOT NULL GROUP BY ALL)"
 _P = "now_ AS (SELECT repo, relative_path, max(file_hash) AS h1 FROM file_state GROUP BY ALL)"
 _CH = f"""{_I}, {_P}, ch AS (SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.relative_path, b.relative_path) AS relative_path, h0, h1,
@@ -125,7 +147,7 @@ _KEPT = "SELECT repo, relative_path, id FROM c WHERE NOT EXISTS (SELECT 1 FROM h
 
 QUERIES = {
     f.__name__: f
-    for f in (file_diff, change_counts, carry_forward_hashes, suppress_overlay, overlay_union, coverage, status_totals, stale_files, stale_collections, root_hash, chunk_budget, upsert_chunks, delete_paths, queue_merge, indexing_age, distinct_files_of_stores)
+    for f in (file_diff, change_counts, carry_forward_hashes, suppress_overlay, overlay_union, coverage, status_totals, stale_files, stale_collections, root_hash, chunk_budget, upsert_chunks, delete_paths, queue_merge, indexing_age, distinct_files_of_stores, extract_symbols, chunk_files, embed_documents)
 }
 SQL = {
     "file_diff": f"WITH {_CH} SELECT repo, relative_path, change FROM ch",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.sources.definitions import definitions, refined
 
 #: Extensions that are read unless others are named.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".java", ".cpp", ".c", ".h", ".hpp", ".cs", ".go", ".rs", ".php", ".rb", ".swift", ".kt", ".scala", ".m", ".mm", ".md", ".markdown", ".ipynb")
@@ -62,17 +63,26 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, ig
 def chunk_file(path: str, text: str) -> list[tuple]:
     """``(kind, name, container, content, start, end)`` of one file.
 
-    Python files give every definition, a method again inside its class; other files
-    give blocks at top-level definitions, headings or blank lines, packed to size.
+    Every definition is a chunk, a method again inside its class; those over the size
+    limit are cut at line ends and keep their name on the first piece. Files
+    without definitions, and minified ones, are packed by lines.
     """
-    if path.endswith(".py"):
+    ext = "." + path.rsplit(".", 1)[-1] if "." in path.rsplit("/", 1)[-1] else ""
+    language = T.LANGUAGES.get(ext, "text")
+    found: list[tuple] = []
+    if language == "python":
         try:
             found = list(_python(ast.parse(text), text.split("\n"), ()))
-            if found:
-                return found
         except (SyntaxError, ValueError, RecursionError):
             pass
-    return [("text", None, None, c, a, b) for c, a, b in pack_lines(text, TEXT_CHARS)]
+    elif not (language in ("javascript", "typescript") and is_minified(text)):
+        rows = text.split("\n")
+        found = [(d.kind, d.name, d.container, "\n".join(rows[d.start - 1 : d.end]), d.start, d.end) for d in definitions(text, language)]
+    out = []
+    for kind, name, box, content, a, b in found:
+        for i, (c, x, y) in enumerate(refined(content, a)):
+            out.append((kind, None if i else name, box, c, x, b if i == 0 and name else y))
+    return out or [("text", None, None, c, a, b) for c, a, b in pack_lines(text, TEXT_CHARS)]
 
 
 def _python(tree: ast.AST, lines: list[str], above: tuple[str, ...]) -> Iterator[tuple]:
