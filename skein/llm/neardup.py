@@ -205,12 +205,14 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     members = profiles.select("id", "cls").distinct()
     heads = stage.save(profiles.groupBy("cls").agg(F.min("id").alias("id")))
     first = profiles.join(heads, ["cls", "id"], "left_semi")
-    banded = first.select("cls", F.explode("bands").alias("band"))
+    # Bands are shuffled with a 64-bit key of the class; should two classes share one, both are compared exactly below.
+    key = F.xxhash64("cls")
+    banded = first.select(key.alias("cls"), F.explode("bands").alias("band"))
     sized = stage.save(banded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1"))
-    pairs = _candidates(sized, block)
-    one = first.select(F.col("cls").alias("cls_1"), F.col("total").alias("t1"), F.col("sketch").alias("s1"))
-    two = first.select(F.col("cls").alias("cls_2"), F.col("total").alias("t2"), F.col("sketch").alias("s2"))
-    likely = stage.save(_estimate(pairs.join(one, "cls_1").join(two, "cls_2"), threshold))
+    pairs = _candidates(sized, block).withColumnsRenamed({"cls_1": "key_1", "cls_2": "key_2"})
+    one = first.select(key.alias("key_1"), F.col("cls").alias("cls_1"), F.col("total").alias("t1"), F.col("sketch").alias("s1"))
+    two = first.select(key.alias("key_2"), F.col("cls").alias("cls_2"), F.col("total").alias("t2"), F.col("sketch").alias("s2"))
+    likely = stage.save(_estimate(pairs.join(one, "key_1").join(two, "key_2"), threshold))
     elems_1 = first.select(F.col("cls").alias("cls_1"), F.col("elems").alias("elems_1"))
     elems_2 = first.select(F.col("cls").alias("cls_2"), F.col("elems").alias("elems_2"))
     links = _verify(likely.join(elems_1, "cls_1").join(elems_2, "cls_2"), threshold)
