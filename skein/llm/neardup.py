@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skein.runtime import Stage
 
 WORD = re.compile(r"[a-z0-9_]{3,}")
-_PROFILE = "id string, cls binary, total int, sketch binary, elems array<long>, bands array<long>"
+_PROFILE = "id string, cls binary, copy long, total int, sketch binary, elems array<long>, bands array<long>"
 _SKETCH = 96
 _U = np.uint64
 
@@ -85,16 +85,16 @@ class _Ids(dict):
 
 
 def profile(texts: DataFrame, text_id: str, text: str, min_words: int, bands: int, rows: int) -> DataFrame:
-    """One row per text of at least ``min_words`` words: class, elements and band keys.
+    """One row per text of at least ``min_words`` words: class, hash of the text itself, elements and band keys.
 
     Null ids and null texts give no row; short and empty texts are below ``min_words``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
-        schema = pa.schema([("id", pa.string()), ("cls", pa.binary()), ("total", pa.int32()), ("sketch", pa.binary()), ("elems", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.string()), ("cls", pa.binary()), ("copy", pa.int64()), ("total", pa.int32()), ("sketch", pa.binary()), ("elems", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            names, elems = [], []
+            names, copies, elems = [], [], []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name is None or body is None:
                     continue
@@ -108,6 +108,7 @@ def profile(texts: DataFrame, text_id: str, text: str, min_words: int, bands: in
                     own[i] = ids[w, n]
                 own.sort()
                 names.append(name)
+                copies.append(xxhash.xxh3_64_intdigest(body.encode(errors="surrogatepass")))
                 elems.append(own)
             for at in range(0, len(names), 1024):
                 part = elems[at : at + 1024]
@@ -123,6 +124,7 @@ def profile(texts: DataFrame, text_id: str, text: str, min_words: int, bands: in
                     [
                         pa.array(names[at : at + 1024], pa.string()),
                         pa.array(cls, pa.binary()),
+                        pa.array(np.array(copies[at : at + 1024], dtype=np.uint64).view(np.int64)),
                         pa.array(sizes.astype(np.int32)),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
@@ -176,8 +178,8 @@ def _estimate(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(sizes).select("cls_1", "cls_2", "s1", "s2").mapInArrow(run, "cls_1 binary, cls_2 binary")
 
 
-def _candidates(sized: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs of classes that share a band; a band of over ``block`` classes is compared block by block."""
+def _together(sized: DataFrame, block: int) -> DataFrame:
+    """Pairs of classes that share a band of ``n`` classes; a band of over ``block`` classes is compared block by block."""
     few = sized.where(F.col("n") <= block)
     a = few.select("band", F.col("cls").alias("cls_1"))
     b = few.select("band", F.col("cls").alias("cls_2"))
@@ -188,13 +190,19 @@ def _candidates(sized: DataFrame, block: int) -> DataFrame:
     left = many.select("band", F.col("cls").alias("cls_1"), F.col("own").alias("i"), F.explode(others).alias("j"))
     right = many.select("band", F.col("cls").alias("cls_2"), F.explode(others).alias("i"), F.col("own").alias("j"))
     large = left.join(right, ["band", "i", "j"]).where("cls_1 < cls_2").select("cls_1", "cls_2")
-    return small.unionByName(large).distinct()
+    return small.unionByName(large)
+
+
+def _candidates(sized: DataFrame, block: int) -> DataFrame:
+    """Distinct pairs of classes that share a band."""
+    return _together(sized, block).distinct()
 
 
 def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.7, min_words: int = 30, bands: int = 40, rows: int = 5, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of near-duplicate texts.
 
-    ``members(id, cls)`` names each text's class of equal word counts;
+    ``members(id, cls, copy)`` names each text's class of equal word counts and
+    the hash that only byte-equal texts share;
     ``links(cls_1, cls_2, similarity)`` holds every found pair of classes with a
     similarity of at least ``threshold``. A pair at 0.7 is missed with a
     probability of about 0.0006 by 40 bands of 5 rows. Repeated rows of an id
@@ -202,7 +210,7 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     """
     stage = Stage(texts.sparkSession, "neardup")
     profiles = stage.save(profile(texts, text_id, text, min_words, bands, rows))
-    members = profiles.select("id", "cls").distinct()
+    members = profiles.groupBy("id", "cls").agg(F.min("copy").alias("copy"))
     heads = stage.save(profiles.groupBy("cls").agg(F.min("id").alias("id")))
     first = profiles.join(heads, ["cls", "id"], "left_semi")
     # Bands are shuffled with a 64-bit key of the class; should two classes share one, both are compared exactly below.
@@ -219,21 +227,25 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     return members, stage.save(links.dropDuplicates(["cls_1", "cls_2"]))
 
 
-def similar_pairs(members: DataFrame, links: DataFrame, star_above: int = 64) -> DataFrame:
-    """``id_1 < id_2`` pairs of texts from the classes and their links.
+def similar_pairs(members: DataFrame, links: DataFrame, star_above: int | None = 64, block: int = 512) -> DataFrame:
+    """``id_1 < id_2`` pairs of texts from the classes and their links; with ``star_above=None`` every pair.
 
-    A class of over ``star_above`` equal texts is given as links of each member
-    to its smallest id, which stands for the class in links to other classes:
-    with the membership these determine every pair, without all pairs of copies.
+    Else over ``star_above`` byte-equal texts are given as links of each to their
+    smallest id, which stands for them in all other pairs. Texts of one class that
+    differ in a byte (reordered, reformatted) are never left out.
     """
-    sized = members.groupBy("cls").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
-    open_ = members.join(sized, "cls").where((F.col("n") <= star_above) | (F.col("id") == F.col("head")))
+    open_, star = members, None
+    if star_above is not None:
+        sized = members.groupBy("cls", "copy").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
+        headed = members.join(sized, ["cls", "copy"])
+        open_ = headed.where((F.col("n") <= star_above) | (F.col("id") == F.col("head"))).select("id", "cls")
+        star = headed.where((F.col("n") > star_above) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
     a = open_.select(F.col("cls").alias("cls_1"), F.col("id").alias("a"))
     b = open_.select(F.col("cls").alias("cls_2"), F.col("id").alias("b"))
-    across = links.join(a, "cls_1").join(b, "cls_2").select("a", "b")
-    copies = members.join(sized.where("n > 1"), "cls")
-    few = copies.where(F.col("n") <= star_above)
-    within = few.select("cls", F.col("id").alias("a")).join(few.select("cls", F.col("id").alias("b")), "cls").where("a < b").select("a", "b")
-    star = copies.where((F.col("n") > star_above) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    every = across.unionByName(within).unionByName(star).where("a != b")
-    return every.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()
+    every = links.join(a, "cls_1").join(b, "cls_2").select("a", "b")
+    several = open_.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = open_.join(several, "cls").select(F.col("cls").alias("band"), F.col("id").alias("cls"), "n")
+    every = every.unionByName(_together(grouped, block).toDF("a", "b"))
+    if star is not None:
+        every = every.unionByName(star)
+    return every.where("a != b").select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()

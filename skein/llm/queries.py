@@ -20,7 +20,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_pairs(*neardup.similar_classes(table(spark, d, "chunk_doc"), "id", "content"))
+    return neardup.similar_pairs(*neardup.similar_classes(table(spark, d, "chunk_doc"), "id", "content"), star_above=None)
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,17 @@ def test_estimate_of_probability_jaccard():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, content string")
     assert N.similar_pairs(*N.similar_classes(df, "id", "content")).collect() == []
+
+
+def test_reordered_versions_in_a_large_class_give_every_pair(spark):
+    rng = random.Random(3)
+    base = [f"word{i}" for i in range(50)]
+    texts = {f"r{i:03}": " ".join(rng.sample(base, 50)) for i in range(80)}
+    texts["near"] = " ".join([*base, "extra"])
+    rows = [*texts.items(), *((f"s{i:03}", texts["r000"]) for i in range(70))]
+    members, links = N.similar_classes(spark.createDataFrame(rows, "id string, content string"), "id", "content")
+    ids = sorted(k for k, _ in rows)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    assert {(r[0], r[1]) for r in N.similar_pairs(members, links, star_above=None, block=16).collect()} == want
+    stars = {(r[0], r[1]) for r in N.similar_pairs(members, links).collect()}
+    assert stars == {(a, b) for a, b in want if not b.startswith("s")} | {("r000", f"s{i:03}") for i in range(70)}
