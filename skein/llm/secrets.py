@@ -50,11 +50,10 @@ _LOOKED_UP = re.compile(r"env|lookup|vault|read|load|fetch|getProperty|config|se
 _PLACEHOLDER = re.compile(
     r"<[\w .-]+>|\{[\w. -]*\}|\[[^\]]+\][{*+?]?|\(.*\|.*\)|\[\^|^\$[\w{(]|^%[\w(]+%?$|\$\{|\{\{|^x{3,}$|^[.*x-]+$|change[_-]?me|replace[_-]?me|your[_-]|placeholder|dummy|sample|redacted|^todo|^fixme|^none$|^null$|^true$|^false$|^undefined$|not[_-]?set|^test$|^example|^insert|\.\.\.|^https?://|^data:|/secrets?/|^projects/", re.I
 )
-#: Lower-case parts of which a line (or text) with a secret has one; the known formats need no line of their own.
-_PARTS = (
-    "passw passphrase passcode pwd secret token auth credential bearer _key -key apikey accesskey privatekey encryptionkey signingkey key= key: smtp_pass smtppass smtp-pass "
-    "_pass -pass .pass pass= pass: login log_in signin sign_in connect authoriz sig="
-).split() + ["basic ", " key", " pass", '"pass', "'pass", "\tpass", "://"]
+#: Lower-case parts of which every match of a rule holds one (the shortest literal of each); the known formats need no line of their own.
+_PARTS = "pass pwd secret token key credential bearer auth sig basic login log_in connect ://".split()
+#: Letters that a pattern without regard to case takes for ``s`` or ``i`` although their lower case is another.
+_FOLDED = {"\u017f": "s", "\u0131": "i", "\u0130": "i"}
 _FORMATS = "akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ sk_test_ pk_live_ pk_test_ rk_live_ rk_test_ aiza glpat- npm_ sg. hf_ whsec_ sk- shpat_ shpss_ shpca_ shppa_ dop_v1_ ya29. sq0 pypi- dckr_pat_ lin_api_ xapp- eyj".split()
 ROWS = "tab string, id string, owner string, line_no long, start long, stop long, value string, rule string"
 
@@ -103,7 +102,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for m in KNOWN.finditer(text):
         found.append((m.start(), m.end(), m.group(), "format"))
     done = -1
-    low = text.lower()
+    low = (text if text.isascii() else text.translate(str.maketrans(_FOLDED))).lower()
     if len(low) != len(text):  # some letters grow in lower case; then no place can be told from it
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     for end, _ in _hints().iter(low):  # only lines on which any rule could begin
@@ -235,6 +234,7 @@ def candidates(texts: DataFrame) -> DataFrame:
 
     low = F.lower("content")  # substring tests in the JVM are far cheaper than one large pattern
     some = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in [*_PARTS, *_FORMATS, "private key"]))
+    some = reduce(lambda a, b: a | b, (F.contains("content", F.lit(c)) for c in _FOLDED), some)
     return texts.where(some).select("tab", "id", "owner", "content").mapInArrow(run, ROWS)
 
 

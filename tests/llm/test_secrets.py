@@ -97,3 +97,41 @@ def test_placeholders_of_many_owners_are_suppressed_and_known_values_found_again
 
 def test_empty(spark):
     assert S.detect(chunks(spark, []), vectors(spark, [])).collect() == []
+
+
+MATCHED = [
+    (S._ASSIGN, 'pass = "Xk29!fooBar"'),
+    (S._ASSIGN, "$pass = 'Xk29!fooBar'"),
+    (S._ASSIGN, '(pass = "Xk29!fooBar")'),
+    (S._ASSIGN, '\u017fmtp_pa\u017f\u017f = "Xk29!fooBar"'),
+    (S._PROSE, "Key was Xk29!fooBar"),
+    (S._OPTION, "host?user=a&signature=Xk29!fooBar"),
+    (S._HEADER, "Basic\tdXNlcjpwYTU1d29yZCE="),
+    (S._URL, "amqp://u:Xk29!fooBar@host"),
+    (S._USE, "`Xk29!fooBar` as the key"),
+    (S._CALL, 'logIn("Xk29!fooBar")'),
+    (S._CALL, 'sign_in("Xk29!fooBar")'),
+    (S._CALL, 'log_in("Xk29!fooBar")'),
+    (S._DEFINE, '#define PASS "Xk29!fooBar"'),
+]
+
+
+@pytest.mark.parametrize("rule,line", MATCHED)
+def test_every_match_of_a_rule_holds_a_part(rule, line):
+    m = rule.search(line)
+    folded = m.group().translate(str.maketrans(S._FOLDED)).lower()
+    assert any(w in folded for w in S._PARTS)
+    assert len(S.find("x\n" + line + "\ny")) == 1
+
+
+NAMES = "passwd,password,passphrase,pwd,secret,token,api_key,apikey,access-key,private key,encryption_key,signing_key,auth_key,credential,bearer,passcode,smtp_pass,pass".split(",")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_name_of_a_secret_holds_a_part(name):
+    assert S._ASSIGN.match(name + " = ") and any(w in name for w in S._PARTS)
+
+
+def test_rows_are_chosen_by_the_parts_too(spark):
+    rows = [("a", "r", 'pass = "Xk29!fooBar"'), ("b", "r", "Key was Xk29!fooBaz"), ("c", "r", "pa\u017f\u017f = 'Xk29!fooBay'")]
+    assert sorted(r["id"] for r in S.detect(chunks(spark, rows), vectors(spark, [])).collect()) == ["a", "b", "c"]
