@@ -251,7 +251,7 @@ def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8, autom
     first = stage.save(candidates(texts))
     shared = first.where("rule != 'pem'").groupBy("value").agg(F.countDistinct("owner").alias("owners")).where(F.col("owners") > owners_at_most)
     kept = first.join(shared, "value", "left_anti")
-    confirmed = kept.where("rule != 'pem' and length(value) >= 12").select("value").distinct()
+    confirmed = kept.where("rule != 'pem'").select("value").distinct()
     blocks = -(-confirmed.count() // automaton_values)
     every = kept.select("tab", "id", "owner", "line_no", "start", "stop", "value", "rule")
     for k in range(blocks):
@@ -262,6 +262,23 @@ def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8, autom
     return merged.select("tab", "id", "x.owner", "line_no", "start", "x.stop", "x.value", "x.rule")
 
 
+def _stands_alone(text: str, a: int, b: int, value: str) -> bool:
+    """Is ``value`` at ``a:b`` no part of a longer token?
+
+    A value under 12 characters must be a whole token; one that might be an
+    ordinary word (a URL's password may be any) must stand in quotes.
+    """
+    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+    if before.isalnum() and value[0].isalnum() or after.isalnum() and value[-1].isalnum():
+        return False
+    if len(value) >= 12 or before and before == after and before in "\"'`":
+        return True
+    part = re.compile(r"[\w.$/+-]")
+    end = text[b : b + 2]
+    ends = not part.match(after) or re.match(r"\.(?:\s|$)", end) is not None or end == "."
+    return structured(value, True) and _password_like(value) and not part.match(before) and ends
+
+
 def _scanner(words: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ahocorasick.Automaton()
@@ -272,10 +289,9 @@ def _scanner(words: list[str]):
             out = []
             for tab, i, owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 last = 0
-                for end, w in machine.iter_long(text):
-                    a, b = end + 1 - len(w), end + 1
-                    whole = not (text[a - 1 : a].isalnum() and w[0].isalnum()) and not (text[b : b + 1].isalnum() and w[-1].isalnum())
-                    if whole and a >= last:
+                places = ((end + 1 - len(w), end + 1, w) for end, w in machine.iter(text))
+                for a, b, w in sorted((p for p in places if _stands_alone(text, *p)), key=lambda p: (p[0], -p[1])):
+                    if a >= last:
                         out.append((tab, i, owner, _place(text, a), a, b, w, "again"))
                         last = b
             if out:

@@ -135,3 +135,20 @@ def test_every_name_of_a_secret_holds_a_part(name):
 def test_rows_are_chosen_by_the_parts_too(spark):
     rows = [("a", "r", 'pass = "Xk29!fooBar"'), ("b", "r", "Key was Xk29!fooBaz"), ("c", "r", "pa\u017f\u017f = 'Xk29!fooBay'")]
     assert sorted(r["id"] for r in S.detect(chunks(spark, rows), vectors(spark, [])).collect()) == ["a", "b", "c"]
+
+
+def test_short_confirmed_values_are_found_again_as_whole_tokens(spark):
+    rows = [
+        ("a", "r", 'password = "hub53X!q"'),
+        ("b", "r", "mysql://u:gate@h.test/db and mysql://u:zk7q@h.test/db"),
+        ("c", "s", "nothing tells here: hub53X!q and so on.\nthen hub53X!q."),
+        ("d", "s", "run(x, 'gate', `zk7q`)"),
+        ("e", "s", "the gate, gate/zk7q, hub53X!q2, my-hub53X!q and xhub53X!q"),
+        ("f", "s", 'password = "hub53X!q-long77Z"'),
+        ("g", "s", "also hub53X!q-long77Z here"),
+    ]
+    got = {(r["id"], r["line_no"], r["value"]) for r in S.detect(chunks(spark, rows), vectors(spark, [])).collect()}
+    long = "hub53X!q-long77Z"
+    assert got == {("a", 1, "hub53X!q"), ("b", 1, "gate"), ("b", 1, "zk7q"), ("c", 1, "hub53X!q"), ("c", 2, "hub53X!q"), ("d", 1, "gate"), ("d", 1, "zk7q"), ("f", 1, long), ("g", 1, long)}
+    red = {r["id"]: r["content"] for r in S.redact(chunks(spark, rows), vectors(spark, [])).collect()}
+    assert red["c"] == "nothing tells here: REDACTED and so on.\nthen REDACTED." and "e" not in red
