@@ -44,7 +44,18 @@ _CHECKSUM = re.compile(r"sha\d+$|md5$|checksum$|hash$|digest$|icon$", re.I)
 _CALL = re.compile(r"\b\w*(?:log_?in|sign_?in|authenticate|authorize|connect|credential|password|passwd|auth)\w*\s*\(", re.I)
 _PROSE = re.compile(rf"\b[\w -]*(?:{_NAME}|\bkey)\b[\w ]*?\b(?:was|is|are|equals?)\s+[`\"']?([^\s`\"',]+)", re.I)
 _USE = re.compile(rf"[`\"']([^`\"'\s]+)[`\"']\s+(?:as|for|is|works as)\s+(?:the|our|a|my)?\s*[\w -]*(?:{_NAME}|\bkey)\b(?![\w ]*\b(?:path|field|name|pattern|template|url|icon)\b)", re.I)
-_QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`([^`]*)`")
+_QUOTED = re.compile(r"\"((?:[^\"\\]++|\\.)*+)\"|'((?:[^'\\]++|\\.)*+)'|`([^`]*+)`")
+_BODY = re.compile(r"(?:\s*(?:\"\"|''|[|>][+-]?|\(|\\|\+|\.|[\w.:!]+\(|(?:b|r|u|f|L)(?=[\"'])|&)\s*)*")
+_MORE = re.compile(r"(?:\s*\\?\s*[+,.]?\s*\\?\s*)(?=[\"'`])")
+_KEYED = re.compile(r"\s*[:=]")
+_BARE = re.compile(r"[^\s\"'`;,#][^\s\"'`;,]*")
+_LINE_ENDS = re.compile(r"\s*(?:[;,]\s*)?(?:#.*)?(?:\n|\Z)")
+#: Names of passwords, behind which short values and values with blanks count too; words of prompts and messages.
+_PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|passwd|pwd|passcode)$", re.I)
+_QUOTED_OPTION = re.compile(r"--?[\w-]*(?:password|passphrase|passwd|pwd|passcode)(?:=|\s+)([\"'])((?:(?!\1)[^\n])+ (?:(?!\1)[^\n])+)\1", re.I)
+_MESSAGE = re.compile(
+    r"(?i)\b(?:passw(?:or)?ds?|passphrases?|passwd|pwd|secret|token|key|credentials?|login|enter|type|please|your|must|is|are|be|was|the|required?|invalid|wrong|incorrect|missing|empty|confirm|forgot(?:ten)?|reset|change|repeat|minimum|maximum|characters?|least|not|should|cannot|can|if|from|select|where|and|or|none|null|error|failed)\b|[?:…]$"
+)
 _NOT_A_SECRET = re.compile(r"(?:path|field|name|file|pattern|regex|template|url|uri|icon|sha256|sha1|md5|checksum|hash|digest|length|len|count|size|ttl|type|label|header|hint|prompt|policy|store|manager|provider|factory|service|count|limit|index|kind|expiry|at)$", re.I)
 _LOOKED_UP = re.compile(r"env|lookup|vault|read|load|fetch|getProperty|config|secrets?\.|\bget\(|prompt|input|ask|file|open\(", re.I)
 _PLACEHOLDER = re.compile(
@@ -69,13 +80,13 @@ def _hints() -> ahocorasick.Automaton:
 
 def structured(value: str, named: bool = False) -> bool:
     """Does ``value`` look like a secret and not like a word, a path, a template or a number?"""
-    if not 8 <= len(value) <= 4096 or _PLACEHOLDER.search(value) and not _looks_random(value):
+    if len(value) < 8 or re.search(r"\s", value) or not _looks_random(value) and _PLACEHOLDER.search(value):
         return False
-    if re.search(r"\s", value) or re.fullmatch(r"[\d.,:/_-]+", value) or re.fullmatch(r"\w+(?:\.\w+)*\(.*", value):
+    if re.fullmatch(r"[\d.,:/_-]+", value) or re.fullmatch(r"\w+(?:\.\w+)*\(.*", value):
         return False
     letters, digits, marks = bool(re.search(r"[A-Za-z]", value)), bool(re.search(r"\d", value)), bool(re.search(r"[^\w/.-]", value))
     if re.fullmatch(r"[a-z]+(?:[_.-][a-z]+)*|[A-Z]+(?:_[A-Z0-9]+)*|[A-Za-z]+(?:[.][A-Za-z]+)*", value):
-        return named and len(value) >= 16 and bool(re.search(r"[a-z][A-Z].*[A-Z][a-z]*[A-Z]", value)) and not re.fullmatch(r"(?:[A-Z]?[a-z]{3,})+", value)
+        return named and len(value) >= 16 and bool(re.search(r"[a-z][A-Z].*[A-Z][a-z]*[A-Z]", value)) and not re.fullmatch(r"[A-Z]?[a-z]{3,}(?:[A-Z][a-z]{3,})*", value)
     if re.fullmatch(r"(?:\./|/|~/)?[\w-]+(?:/[\w.-]+)+", value) and not (digits and re.search(r"[A-Z]", value) and re.search(r"[a-z]", value)):
         return False
     return letters and (digits or marks or _looks_random(value))
@@ -85,6 +96,23 @@ def _looks_random(value: str) -> bool:
     return len(value) >= 20 and len(set(value)) >= 12 and bool(re.search(r"\d", value)) and bool(re.search(r"[a-z]", value)) and bool(re.search(r"[A-Z]", value)) and re.fullmatch(r"[\w+/=-]+", value) is not None
 
 
+def _password(name: str, value: str) -> bool:
+    """Is ``value``, behind the name of a password, a short password or a passphrase of several words?"""
+    if not _PASSWORD.search(name) or _PLACEHOLDER.search(value):
+        return False
+    if " " in value:
+        words = value.split(" ")
+        joined = re.search(r"[\"'`]\s*[+.,&]|[+.,&]\s*[\"'`]|^[\"'`]|[\"'`]$", value)
+        return all(words) and value.isprintable() and not joined and not _MESSAGE.search(value) and bool(re.search(r"[^\W_]", value))
+    return len(value) < 8 and bool(re.search(r"[A-Za-z]", value)) and bool(re.search(r"[\d!@#$%^&*?+=~]", value)) and not re.search(r"[\s()\[\]<>{}]", value)
+
+
+def _wrapped(value: str) -> bool:
+    """Encoded data that was cut into lines."""
+    rows = value.split()
+    return "\n" in value and len(rows) > 1 and all(re.fullmatch(r"[\w+/=-]{16,}", x) for x in rows[:-1]) and _looks_random("".join(rows))
+
+
 def _decodes(value: str) -> bool:
     try:
         return b":" in base64.b64decode(value + "=" * (-len(value) % 4), validate=True)
@@ -112,8 +140,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         done = text.find("\n", end)
         done = len(text) if done < 0 else done
         line = text[at:done]
-        if len(line) > 7:
-            found += [(at + x, at + y, v, r) for x, y, v, r in _in_line(line)]
+        found += [(at + x, at + y, v, r) for x, y, v, r in _in_line(line)]
         if _ASSIGN.search(line) or _DEFINE.match(line):
             found += _assigned(text, at, line)
     found.sort()
@@ -142,8 +169,11 @@ def _in_line(line: str) -> list[tuple[int, int, str, str]]:
     for m in _OPTION.finditer(line):
         name = re.split(r"[=\s]", m.group(), maxsplit=1)[0]
         v = m[1].rstrip(").]")
-        if not _NOT_A_SECRET.search(name) and structured(v, True) and not re.match(r"[\w.]+[(\[]", v) and (m.group()[0] in "-?&;" or _password_like(v)):
+        if not _NOT_A_SECRET.search(name) and (structured(v, True) or _password(name, v)) and not re.match(r"[\w.]+[(\[]", v) and (m.group()[0] in "-?&;" or _password_like(v)):
             out.append((m.start(1), m.start(1) + len(v), v, "option"))
+    for m in _QUOTED_OPTION.finditer(line):
+        if _password("password", m[2]):
+            out.append((m.start(2), m.end(2), m[2], "option"))
     for p in (_PROSE, _USE):
         for m in p.finditer(line):
             v = m[1].rstrip(".;:!)") if p is _PROSE and m[1][-1:] in ".;:)" else m[1]
@@ -174,35 +204,41 @@ def _assigned(text: str, at: int, line: str) -> list[tuple[int, int, str, str]]:
         if other and _CHECKSUM.search(name):
             continue
         start = at + m.end()
-        rest = text[start : start + 6000]
-        first = rest.split("\n", 1)[0]
+        end = text.find("\n", start)
+        first = text[start : len(text) if end < 0 else end]
         wrapper = re.match(r"[\w.:!&\s\[\]<>]*\(?\s*", first).group() if not first[:1] in "\"'`" else ""
         if _LOOKED_UP.search(wrapper) and re.search(r"[(\[.]\s*$|^(?:process|os|std|import\.meta)\b.*env", first[: len(wrapper) + 1]):
             continue
-        body = re.match(r"(?:\s*(?:\"\"|''|[|>][+-]?|\(|\\|\+|\.|[\w.:!]+\(|(?:b|r|u|f|L)(?=[\"'])|&)\s*)*", rest).group()
-        here = rest[len(body) :]
-        q = _QUOTED.match(here)
+        body = _BODY.match(text, start).group()
+        here = start + len(body)
+        q = _QUOTED.match(text, here)
         if q:
             v = next(g for g in q.groups() if g is not None)
-            pieces, stop = v, q.end()
-            while (more := re.compile(r"(?:\s*\\?\s*[+,.]?\s*\\?\s*)(?=[\"'`])").match(here, stop)) and ("\n" in more.group() or "+" in more.group() or "," in more.group() and "concat" in body or more.group().isspace()):
-                nxt = _QUOTED.match(here, more.end())
-                if not nxt or re.match(r"\s*[:=]", here[nxt.end() :]):
+            pieces, stop = [v], q.end()
+            while (more := _MORE.match(text, stop)) and ("\n" in more.group() or "+" in more.group() or "," in more.group() and "concat" in body or more.group().isspace()):
+                nxt = _QUOTED.match(text, more.end())
+                if not nxt or _KEYED.match(text, nxt.end()):
                     break
-                pieces += next(g for g in nxt.groups() if g is not None)
+                pieces.append(next(g for g in nxt.groups() if g is not None))
                 stop = nxt.end()
-            if PEM.search(pieces) or KNOWN.search(v):
+            value = "".join(pieces)
+            if PEM.search(value) or KNOWN.search(v):
                 continue
-            if structured(pieces, True) and _value_fits(name, pieces) and (not other or _looks_random(pieces)):
-                s = start + len(body) + 1
-                out.append((s, start + len(body) + stop - 1, pieces, "assigned"))
+            fits = structured(value, True) and _value_fits(name, value) and (not other or _looks_random(value))
+            if fits or not other and (_password(name, value) or _wrapped(value)):
+                out.append((here + 1, stop - 1, value, "assigned"))
             continue
-        bare = re.match(r"[^\s\"'`;,#]+", here)
-        own_line = _SETTING.match(line[: m.start(1)]) and re.match(r"\s*(?:[;,]\s*)?(?:#.*)?(?:\n|\Z)", here[bare.end() :]) if bare else None
-        if own_line and not other and here[0] not in ":[(=|>&*!" and ("\n" not in body or "|" in body or ">" in body) and not wrapper.strip().endswith("("):
+        bare = _BARE.match(text, here)
+        own_line = _SETTING.match(line[: m.start(1)]) and _LINE_ENDS.match(text, bare.end()) if bare else None
+        if own_line and not other and text[here] not in ":[(=|>&*!" and ("\n" not in body or "|" in body or ">" in body) and not wrapper.strip().endswith("("):
             v = bare.group()
-            if structured(v, True) and not re.match(r"[\w.:]+[(\[]", v) and _value_fits(name, v) and not re.fullmatch(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+|[A-Za-z_]+\d{0,2}", v):
-                out.append((start + len(body), start + len(body) + len(v), v, "assigned"))
+            plain = re.match(r"[\w.:]+[(\[]", v) or re.fullmatch(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+|[A-Za-z_]+\d{0,2}", v)
+            if not plain and (structured(v, True) and _value_fits(name, v) or _password(name, v)):
+                out.append((here, here + len(v), v, "assigned"))
+        elif bare and not own_line and not other and re.search(r"passphrase$", name, re.I) and re.fullmatch(r"\s*(?:(?:export|set|ENV|ARG)\s+|-\s+)?[\w.-]*", line[: m.start(1)]) and first.count(" ") > 1:
+            v = first.strip()
+            if not body and re.fullmatch(r"[\w!@#$%^&*?+~-]+(?: [\w!@#$%^&*?+~-]+)+", v) and _password(name, v):
+                out.append((here, here + len(v), v, "assigned"))
     return out
 
 

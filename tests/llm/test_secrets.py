@@ -152,3 +152,50 @@ def test_short_confirmed_values_are_found_again_as_whole_tokens(spark):
     assert got == {("a", 1, "hub53X!q"), ("b", 1, "gate"), ("b", 1, "zk7q"), ("c", 1, "hub53X!q"), ("c", 2, "hub53X!q"), ("d", 1, "gate"), ("d", 1, "zk7q"), ("f", 1, long), ("g", 1, long)}
     red = {r["id"]: r["content"] for r in S.redact(chunks(spark, rows), vectors(spark, [])).collect()}
     assert red["c"] == "nothing tells here: REDACTED and so on.\nthen REDACTED." and "e" not in red
+
+
+ENCODED = base64.b64encode(bytes(range(33, 123)) * 100).decode()
+WHOLE = {
+    f'private_key_data_token = "{ENCODED}"': ENCODED,
+    'passphrase = "correct horse battery staple"': "correct horse battery staple",
+    '"dbPassword": "Blue 7 kites!",': "Blue 7 kites!",
+    "passphrase: correct horse battery staple": "correct horse battery staple",
+    "gpg --passphrase 'correct horse battery staple' -d x": "correct horse battery staple",
+    'password = "zk7q!"': "zk7q!",
+    "pwd=zk7!": "zk7!",
+    "export DB_PASSWORD=beBn8IC#5ms.zZwW2": "beBn8IC#5ms.zZwW2",
+    "tool --password=zk7q! --verbose": "zk7q!",
+}
+MESSAGES = [
+    'password = "Enter your password"',
+    '"password": "Must have 8 characters",',
+    "sql = \"x password='\" + pw + \"' y\"",
+    'password = "admin"',
+    'pwd = "C:"',
+    'pass = "O2"',
+    "password = '%s'",
+    "password: str",
+    "passphrase: Optional[str] = None",
+]
+
+
+@pytest.mark.parametrize("line", WHOLE)
+def test_values_of_any_length_and_with_blanks(line):
+    text = "first line\n" + line + "\nlast line"
+    (a, b, v, _), = S.find(text)
+    assert v == WHOLE[line] and S.blank(text, [(a, b)], "X") == text.replace(v, "X")
+
+
+@pytest.mark.parametrize("line", MESSAGES)
+def test_messages_and_short_words_are_no_passwords(line):
+    assert S.find("first line\n" + line + "\nlast line") == []
+
+
+def test_a_long_value_over_many_literals_or_lines_is_read_to_its_end():
+    rows = [ENCODED[i : i + 64] for i in range(0, len(ENCODED), 64)]
+    text = "signing_key = (\n" + "\n".join(f'    "{x}"' for x in rows) + "\n)\nz = 1\n"
+    (a, b, v, _), = S.find(text)
+    assert v == ENCODED and not any(x in S.blank(text, [(a, b)], "X") for x in rows)
+    text = 'signing_key = """' + "\n".join(rows) + '"""\nz = 1\n'
+    (a, b, v, _), = S.find(text)
+    assert v == "\n".join(rows) and not any(x in S.blank(text, [(a, b)], "X") for x in rows)
