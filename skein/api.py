@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import planner
@@ -67,12 +67,15 @@ class Index:
         found = retrieval.field_bm25(chunks, "id", retrieval.chunk_fields(), terms).select(F.col("doc").alias("id"), "score")
         boosted = found.join(chunks, "id").withColumn("score", F.col("score") + retrieval.chunk_boost(F.lit(query)))
         sources = [fusion.source(boosted.select("repo", "id", "score"), "lexical", F.lit(p.lexical_weight), ["repo"], per)]
-        named = self.search_symbols(query, 50, repos).join(chunks.select("repo", "relative_path", "id", F.col("start_line").alias("a"), F.col("end_line").alias("b")), ["repo", "relative_path"])
-        held = named.where((F.col("a") <= F.col("start_line")) & (F.col("start_line") <= F.col("b"))).groupBy("repo", "id").agg(F.sum("score").alias("score"))
+        rows = symbols.latest_symbols(table(self.spark, self.root, "symbol_row")).join(chunks.select("repo", "relative_path").distinct(), ["repo", "relative_path"], "left_semi")
+        named = self._scored_symbols(query, rows).join(chunks.select("repo", "relative_path", "id", F.col("start_line").alias("a"), F.col("end_line").alias("b")), ["repo", "relative_path"])
+        best = F.dense_rank().over(Window.partitionBy("repo").orderBy(F.desc("score"), "symbol_id"))
+        within = named.where((F.col("a") <= F.col("start_line")) & (F.col("start_line") <= F.col("b"))).withColumn("best", best).where(F.col("best") <= per)
+        held = within.groupBy("repo", "id").agg(F.sum("score").alias("score"))
         sources.append(fusion.source(held, "symbol", F.lit(p.symbol_weight), ["repo"], per, floor=None))
         if vector is not None and p.dense_weight > 0:
             rows = table(self.spark, self.root, "vector_doc").where("vector is not null").dropDuplicates(["id"]).join(chunks.select("id", "repo"), "id")
-            near = retrieval.dense_top_k(rows, vector, per).select("repo", "id", "score")
+            near = retrieval.dense_scores(rows, vector).select("repo", "id", "score")
             sources.append(fusion.source(near, "dense", F.lit(p.dense_weight), ["repo"], per))
         hits = fusion.fuse(sources, ["repo"]).join(chunks.drop("repo"), "id")
         if dedupe_by_file:
@@ -85,11 +88,16 @@ class Index:
         rows = symbols.latest_symbols(table(self.spark, self.root, "symbol_row"))
         if repos:
             rows = rows.where(F.col("repo").isin(*repos))
-        rows = symbols.filtered(rows, prefix, language, kind, container).withColumn("key", F.concat_ws("\x1f", "repo", "symbol_id"))
+        hits = self._scored_symbols(query, symbols.filtered(rows, prefix, language, kind, container))
+        return hits.orderBy(F.desc("score"), "repo", "symbol_id").limit(clamp("limit", limit))
+
+    def _scored_symbols(self, query: str, rows: DataFrame) -> DataFrame:
+        """Every symbol of ``rows`` that shares a term with the query, with its score."""
+        rows = rows.withColumn("key", F.concat_ws("\x1f", "repo", "symbol_id"))
         asked = self.spark.createDataFrame([("q", query)], "query_id string, query string")
         scored = retrieval.field_bm25(rows, "key", retrieval.symbol_fields(), retrieval.query_terms(asked))
         hits = scored.join(rows, scored["doc"] == rows["key"]).withColumn("score", F.col("score") + retrieval.symbol_boost(F.lit(query)))
-        return hits.select("repo", "symbol_id", "relative_path", "name", "kind", "container", "start_line", "end_line", T.rounded(F.col("score")).alias("score")).orderBy(F.desc("score"), "repo", "symbol_id").limit(clamp("limit", limit))
+        return hits.select("repo", "symbol_id", "relative_path", "name", "kind", "container", "start_line", "end_line", T.rounded(F.col("score")).alias("score"))
 
     def search_text(self, needle: str, limit: int = 10, repos: list[str] | None = None, prefix: str | None = None, language: str | None = None, file: str | None = None, extensions: list[str] | None = None, case_sensitive: bool = True, whole_word: bool = False) -> DataFrame:
         """Lines with the literal, by path and line; a target must be bounded by file, prefix or one repository."""
