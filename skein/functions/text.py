@@ -78,7 +78,7 @@ def preview(text: Column, most: int) -> Column:
 
 def snippet(query: Column, content: Column, most: int) -> Column:
     """The content, or a window of it around the first query term that occurs: a third before, two thirds after."""
-    low = F.lower(content)
+    low = F.lower(F.replace(content, F.lit("\u0130"), F.lit("i")))  # the one letter that grows in lower case
     words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != "")
     hits = F.filter(F.transform(words, lambda w: F.instr(low, w)), lambda p: p > 0)
     at = F.try_element_at(hits, F.lit(1)) - 1

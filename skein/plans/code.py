@@ -82,17 +82,37 @@ def match_pick(spark: SparkSession, d: str) -> DataFrame:
     return lines.pick(found, ["id"], "hint")
 
 
-def anchor_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = _chunks(spark, d).where("not content rlike '[^\\\\x00-\\\\x7F]'")
+def _ascii(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that the SQL compares; the queries named ``..._all`` read every chunk."""
+    return _chunks(spark, d).where("not content rlike '[^\\\\x00-\\\\x7F]'")
+
+
+def _anchor_rank(rows: DataFrame) -> DataFrame:
     return lines.anchors(lines.numbered(rows, ["id"], "content"), ["id"], 2, query="return")
 
 
-def line_histogram(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines.numbered(_chunks(spark, d).where("not content rlike '[^\\\\x00-\\\\x7F]'"), ["repo", "relative_path"], "content")
+def anchor_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _anchor_rank(_ascii(spark, d))
+
+
+def anchor_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    return _anchor_rank(_chunks(spark, d))
+
+
+def _line_histogram(rows: DataFrame) -> DataFrame:
+    rows = lines.numbered(rows, ["repo", "relative_path"], "content")
     plain = F.trim(F.regexp_replace("line", r"[\r\n]+$", ""))
     return rows.withColumn("line", plain).where("line != ''").groupBy("repo", "relative_path", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+def line_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return _line_histogram(_ascii(spark, d))
+
+
+def line_histogram_all(spark: SparkSession, d: str) -> DataFrame:
+    return _line_histogram(_chunks(spark, d))
+
+
 def neighbor_context(spark: SparkSession, d: str) -> DataFrame:
     return lines.with_neighbours(_chunks(spark, d), 2).select("id", F.md5("context").alias("context_md5"))
 
@@ -101,11 +121,18 @@ def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return lines.overlapped(_chunks(spark, d)).select("id", "start_line", F.md5("content").alias("content_md5"))
 
 
-def window_ready(spark: SparkSession, d: str) -> DataFrame:
+def _window_ready(rows: DataFrame) -> DataFrame:
     size = (F.col("end_line") - F.col("start_line") + 1).cast("long")
-    unique = lines.anchors(lines.numbered(_chunks(spark, d).where("not content rlike '[^\\\\x00-\\\\x7F]'"), ["id"], "content"), ["id"], 3).groupBy("id").agg(F.count_if("unique_in_file").alias("u"))
-    rows = _chunks(spark, d).where("not content rlike '[^\\\\x00-\\\\x7F]'").join(unique, "id", "left")
-    return rows.select("id", lines.readiness(size, F.coalesce("u", F.lit(0))).alias("state"))
+    unique = lines.anchors(lines.numbered(rows, ["id"], "content"), ["id"], 3).groupBy("id").agg(F.count_if("unique_in_file").alias("u"))
+    return rows.join(unique, "id", "left").select("id", lines.readiness(size, F.coalesce("u", F.lit(0))).alias("state"))
+
+
+def window_ready(spark: SparkSession, d: str) -> DataFrame:
+    return _window_ready(_ascii(spark, d))
+
+
+def window_ready_all(spark: SparkSession, d: str) -> DataFrame:
+    return _window_ready(_chunks(spark, d))
 
 
 def line_slices(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +157,7 @@ def _literal(needle: str, column: str, ctes: str = "") -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (latest_symbols, symbol_filters, symbol_to_chunk, symbol_rows_joined, outline_tree, line_index, literal_matches, literal_matches_any_case, literal_whole_word, text_search_topk, narrowest_symbol, match_pick, anchor_rank, line_histogram, neighbor_context, chunk_overlap, window_ready, line_slices)
+    for f in (latest_symbols, symbol_filters, symbol_to_chunk, symbol_rows_joined, outline_tree, line_index, literal_matches, literal_matches_any_case, literal_whole_word, text_search_topk, narrowest_symbol, match_pick, anchor_rank, anchor_rank_all, line_histogram, line_histogram_all, neighbor_context, chunk_overlap, window_ready, window_ready_all, line_slices)
 }
 SQL = {
     "outline_tree": f"""WITH RECURSIVE {LATEST},

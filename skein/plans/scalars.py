@@ -43,6 +43,13 @@ def classify_queries(spark: SparkSession, d: str) -> DataFrame:
     return q.unionByName(docs).where("not query rlike '[^ -~]'").select("query_id", planner.classify(F.col("query")).alias("kind"))
 
 
+def classify_queries_all(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of all queries, and of whole documents taken as queries; the SQL of ``classify_queries`` knows printable ASCII and first lines only."""
+    q = table(spark, d, "search_query").select("query_id", "query")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("query_id"), F.col("text").alias("query"))
+    return q.unionByName(docs).select("query_id", planner.classify(F.col("query")).alias("kind"))
+
+
 def plan_weights(spark: SparkSession, d: str) -> DataFrame:
     return planner.plan(table(spark, d, "search_query").select("query_id", "query")).drop("query")
 
@@ -63,10 +70,18 @@ def rounded_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "id", T.rounded(T.positive(F.col("score"))).alias("score"))
 
 
+def _snippets(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.md5(T.snippet(F.lit("return broker"), F.col("content"), 220)).alias("snippet_md5"))
+
+
 def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """A snippet around a fixed query, of every chunk that its SQL compares."""
+    return _snippets(table(spark, d, "chunk_doc").dropDuplicates(["id"]).where("content rlike '^[\\\\x00-\\\\x7F]*$'"))
+
+
+def snippets_all(spark: SparkSession, d: str) -> DataFrame:
     """A snippet of every chunk around a fixed query."""
-    rows = table(spark, d, "chunk_doc").dropDuplicates(["id"]).where("content rlike '^[\\\\x00-\\\\x7F]*$'")
-    return rows.select("id", F.md5(T.snippet(F.lit("return broker"), F.col("content"), 220)).alias("snippet_md5"))
+    return _snippets(table(spark, d, "chunk_doc").dropDuplicates(["id"]))
 
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +143,7 @@ SELECT query_id, kind, mode, CAST(round({dense}, 6) AS DOUBLE) AS dense_weight,
   CAST(CASE WHEN mode IN ('semantic', 'hybrid') THEN 2 ELSE 1 END AS BIGINT) AS neighbours FROM moded"""
 
 
-QUERIES = {f.__name__: f for f in (identifier_terms, path_terms, path_parts, prefix_filters, classify_queries, plan_weights, plan_weights_in_file, json_metadata, rounded_scores, snippets, previews, chunk_ids)}
+QUERIES = {f.__name__: f for f in (identifier_terms, path_terms, path_parts, prefix_filters, classify_queries, classify_queries_all, plan_weights, plan_weights_in_file, json_metadata, rounded_scores, snippets, snippets_all, previews, chunk_ids)}
 SQL = {
     "identifier_terms": f"SELECT repo, symbol_id, name, array_to_string({terms_sql('coalesce(name, $$$$)')}, ' ') AS terms FROM (SELECT DISTINCT repo, symbol_id, name FROM symbol_row)",
     "path_terms": f"SELECT relative_path, array_to_string({terms_sql('relative_path')}, ' ') AS terms FROM (SELECT DISTINCT relative_path FROM chunk_doc)",
