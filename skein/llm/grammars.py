@@ -24,22 +24,33 @@ import warnings
 
 import regex
 
-_META = {"(": "(?:", ")": ")", "|": "|", "*": "*", "+": "+", "?": "?", "*+": "*+", "++": "++", "(?>": "(?>", "(?!": "(?!", "(?=": "(?=", ".": "."}
+_META = {"(": "(?:", ")": ")", "|": "|", "*": "*", "+": "+", "?": "?", "*+": "*+", "++": "++", "(?>": "(?>", "(?!": "(?!", "(?=": "(?=", "(?<=": "(?<=", "(?<!": "(?<!", ".": "."}
 #: Tokens of which a rule's content has one at least, unless it is empty, and rules whose content has no semicolon.
 _NEEDED = {"swbody": ("case", "default"), "arms": ("=>",), "for": (";", ":", "of", "in")}
-_WITHOUT_SEMICOLON = frozenset("args annargs cast params lparams expr type object objpat specs enums slit pstruct fields variants utrees tfields ebody_c arms_c ptuple arrpat partype catch".split())
+_WITHOUT_SEMICOLON = frozenset("args annargs cast params lparams expr type object objpat specs enums slit pstruct fields variants utrees tfields ebody_c arms_c ptuple arrpat partype catch init".split())
 _OPEN = {"(": "(", "[": "[", "{": "{"}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 _CALLED = re.compile(r"\(\?&(\w+)\)")
 _TIED = re.compile(r"\)([*+?]+)(?=\s|$)")
 _BRACKET = re.compile(r"[()\[\]{}]")
+_INNERMOST = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_WHOLE = re.compile(r".*", re.S)
+#: Passes over a text before deeper nesting is left to a stack.
+_PASSES = 24
+
+
+class _Misfit(Exception):
+    """A group that fits no rule."""
 
 
 class Grammar:
     """One language: a token pattern, the kinds of tokens, and rules for groups and the whole text."""
 
-    def __init__(self, tokens: str, keywords: str, operators: str, rules: dict[str, str], groups: dict[str, list[str]], unit: str, sequences: dict[str, tuple[str, str]], always: bool = False):
-        self.token = re.compile(tokens, re.S)
+    def __init__(self, tokens: str, keywords: str, operators: str, rules: dict[str, str], groups: dict[str, list[str]], unit: str, sequences: dict[str, tuple[str, str]], always: bool = False, never: str = ""):
+        name = r"(?:[^\W\d]|\$)(?:\w|\$)*" if r"\$)*" in tokens else _NAME
+        # Names and the commonest marks first, blanks skipped at once; C needs the blanks before a directive.
+        self.token = re.compile(tokens if "PREPROC" in keywords else rf"[ \t\r]*((?![bcr]{{1,2}}[\"'#]){name}|[;(){{}},]|{tokens})", re.S)
+        self.spanning = re.compile(r"`|\"\"\"|\\\\\n" + ("|\"" if always else ""))  # marks of tokens that may span lines
         self.always = always  # a group that fits no rule may still be the argument of a macro
         names = ["ID", "NUM", "STR", "ERR", "NL", *dict.fromkeys(keywords.split()), *dict.fromkeys(operators.split())]
         self.char = {w: chr(0x100 + i) for i, w in enumerate(names)}
@@ -79,11 +90,16 @@ class Grammar:
             banned = self.char[";"] if mode in _WITHOUT_SEMICOLON and unit == "unit" else "\0"
             return whole(mode), need, banned
 
+        self.never = re.compile(self._kinds(never)).search if never else None
         self.match = {b: [tried(m) for m in modes] for b, modes in groups.items()}
         self.unit = whole(unit)
         self.sets: dict[str, dict[str, str]] = {b: {} for b in groups}
         self.any = {b: chr(self.base[b]) for b in groups}
 
+    def _kinds(self, text: str) -> str:
+        """A plain pattern over kinds, in which ``{a b}`` is any of the named kinds."""
+        return re.sub(r"\{([^}]*)\}", lambda m: "[" + "".join(re.escape(self.char[w]) for w in m[1].split()) + "]", text)
+
     def _rule(self, text: str) -> str:
         return "".join(map(self._word, _TIED.sub(r") \1", text).split()))
 
@@ -101,20 +117,20 @@ class Grammar:
             w = w[1:]
         return re.escape(self.char[w])
 
-    def _set(self, bracket: str, content: str) -> str:
+    def _set(self, bracket: str, whole: str) -> str:
+        """The character for the set of rules that the content of the group ``whole`` fits; empty if there is none."""
         known = self.sets[bracket]
-        c = known.get(content)
-        if c is None:
-            if len(known) > 200_000:
-                known.clear()
-            there = set(content)
-            mask = 0
-            for i, (fits, need, banned) in enumerate(self.match[bracket]):
-                if banned not in there and (not need or not content or need & there) and fits(content):
-                    mask |= 1 << i
-            c = chr(self.base[bracket] + mask) if mask or self.always else ""
-            if len(content) < 2000:
-                known[content] = c
+        if len(known) > 200_000:
+            known.clear()
+        content = self.inside(bracket, whole[1:-1])
+        there = set(content)
+        mask = 0
+        for i, (fits, need, banned) in enumerate(self.match[bracket]):
+            if banned not in there and (not need or not content or need & there) and fits(content):
+                mask |= 1 << i
+        c = chr(self.base[bracket] + mask) if mask or self.always else ""
+        if len(content) < 2000:
+            known[whole] = c
         return c
 
     def flat(self, text: str) -> str:
@@ -123,8 +139,77 @@ class Grammar:
 
     def fits(self, text: str) -> bool:
         kinds = self.flat(text)
-        if self.char["ERR"] in kinds:
+        if self.char["ERR"] in kinds or self.never and self.never(kinds):
             return False
+        outer = self._contract(kinds, closed=True)
+        return outer is not None and bool(self.unit(outer))
+
+    def may_fit(self, text: str, steps: tuple[int, ...] = (100, 400, 2000)) -> bool:
+        """False if the tokens of an opening already show that ``text`` does not fit.
+
+        They are the tokens of the whole text, and nothing is held against the last,
+        open line or item, so this never rejects a text that ``fits`` accepts.
+        """
+        for some in steps:
+            if len(text) <= some:
+                return True
+            kinds = self.opening(text, some)
+            if self.char["ERR"] in kinds:
+                return False
+            outer = self._contract(kinds, closed=False)
+            if outer is None or not self.unit.__self__.may_go_on(outer):
+                return False
+        return True
+
+    def opening(self, text: str, some: int) -> str:
+        """The kinds of whole lines within the first ``some`` characters, as ``flat`` would give them in the whole text."""
+        cut = text.rfind("\n", 0, some) + 1
+        comment = text.rfind("/*", 0, cut)
+        if comment >= 0 and text.find("*/", comment + 2, cut) < 0:  # may go on behind the cut
+            cut = text.rfind("\n", 0, comment) + 1
+        if not cut:
+            return ""
+        kinds = self.flat(text[:cut])
+        if self.char["ERR"] in kinds and self.spanning.search(text, 0, cut):
+            end = 0  # a string of several lines may be cut off: go by the tokens themselves
+            for m in self.token.finditer(text):
+                if m.end() > cut:
+                    cut = text.rfind("\n", 0, max(end, m.start()) if end else m.start()) + 1
+                    break
+                end = m.end()
+            kinds = self.flat(text[:cut]) if cut else ""
+        return kinds
+
+    def _contract(self, kinds: str, closed: bool) -> str | None:
+        """What stands between outermost brackets; None for a group or bracket that does not fit, or that is open but must be ``closed``."""
+
+        def group(m: re.Match) -> str:
+            b = m[0][0]
+            c = self.sets[b].get(m[0])
+            if c is None:
+                c = self._set(b, m[0])
+            if not c:
+                raise _Misfit
+            return c
+
+        try:
+            for _ in range(_PASSES):  # all innermost groups at once
+                kinds, n = _INNERMOST.subn(group, kinds)
+                if not n:
+                    break
+            else:
+                kinds = self._contract_deep(kinds, group)
+        except _Misfit:
+            return None
+        rest = _BRACKET.search(kinds)
+        if rest is None:
+            return kinds
+        if closed or any(b in kinds for b in _CLOSE):
+            return None
+        return kinds[: rest.start()]
+
+    def _contract_deep(self, kinds: str, group) -> str:
+        """The same from left to right with a stack, whose time does not grow with the depth."""
         stack: list[tuple[str, list[str]]] = []
         parts: list[str] = []
         at = 0
@@ -136,18 +221,17 @@ class Grammar:
             if b in _OPEN:
                 stack.append((b, parts))
                 parts = []
-                continue
-            if not stack or stack[-1][0] != _CLOSE[b]:
-                return False
-            c = self._set(_CLOSE[b], self.inside(_CLOSE[b], "".join(parts)))
-            if not c:
-                return False
-            parts = stack.pop()[1]
-            parts.append(c)
-        if stack:
-            return False
+            elif not stack or stack[-1][0] != _CLOSE[b]:
+                raise _Misfit
+            else:
+                done = group(_WHOLE.match(_CLOSE[b] + "".join(parts) + b))
+                parts = stack.pop()[1]
+                parts.append(done)
         parts.append(kinds[at:])
-        return bool(self.unit("".join(parts)))
+        while stack:
+            b, above = stack.pop()
+            parts = [*above, b, *parts]
+        return "".join(parts)
 
     def inside(self, bracket: str, content: str) -> str:
         return content
@@ -163,8 +247,27 @@ class _Sequence:
     def __init__(self, item: regex.Pattern, tail: regex.Pattern | None):
         self.item, self.tail = item.match, tail.fullmatch if tail else None
         self.seen: set[str] = set()
+        self.begun: dict[str, bool] = {}
+        self.rests: dict[str, bool] = {}
         self.lengths: dict[str, list[int]] = {}
 
+    def may_go_on(self, content: str) -> bool:
+        """Could ``content`` be the beginning of a sequence?"""
+        known = self.begun.get(content)
+        if known is None:
+            if len(self.begun) > 50_000:
+                self.begun.clear()
+            at, known = 0, True
+            while at < len(content):
+                m = self.item(content, at, partial=True)
+                if m is None:
+                    known = False
+                if m is None or m.partial or m.end() == at:
+                    break
+                at = m.end()
+            self.begun[content] = known
+        return known
+
     def fullmatch(self, content: str) -> bool:
         at, n, seen = 0, len(content), self.seen
         ended = content + "\0"
@@ -175,9 +278,17 @@ class _Sequence:
                     at += size
                     break
             else:
+                rest = content[at:]
+                if rest in self.rests:
+                    return self.rests[rest]
                 m = self.item(content, at)
                 if not m or m.end() == at:
-                    break
+                    fits = self.tail is not None and self.tail(rest) is not None
+                    if len(rest) < 400:
+                        if len(self.rests) > 200_000:
+                            self.rests.clear()
+                        self.rests[rest] = fits
+                    return fits
                 size = m.end() - at
                 if size < 400:
                     if len(seen) > 200_000:
@@ -188,7 +299,7 @@ class _Sequence:
                     if size not in known:
                         known.append(size)
                 at = m.end()
-        return self.tail(content[at:]) is not None if self.tail else at == n
+        return self.tail is None or self.tail("") is not None
 
 
 class _Kinds(dict):
@@ -205,7 +316,7 @@ class _Kinds(dict):
         first = t[0]
         if t.startswith(("//", "/*")):
             k = c["NL"] if "\n" in t else ""
-        elif first == "#" and len(t) > 1 and "PREPROC" in c:
+        elif (first == "#" and len(t) > 1 or first in " \t") and "PREPROC" in c:
             k = ""
         elif first.isalpha() or first in "_$" and len(t) > 0 or t[:2] == "r#":
             k = c["ID"]
@@ -247,7 +358,7 @@ _BLOCK_COMMENT = r"/\*.*?\*/"
 _JAVA_OPS = "; , . ... @ = + - * / % & | ^ ! ~ ? : :: -> ++ -- += -= *= /= %= &= |= ^= << <<= >>= >>>= == != <= >= < > && ||"
 _JAVA_PRIM = "int long double float boolean byte char short void"
 JAVA_RULES = {
-    "id": "ID | record | yield",
+    "id": "ID | record | yield | sealed | when",
     "prim": " | ".join(_JAVA_PRIM.split()),
     "name": "<id> ( '. <id> )*",
     "ann": "@ <name> ( @args | @annargs ) ?",
@@ -255,7 +366,9 @@ JAVA_RULES = {
     "targs": "< ( ( <arg2> ) ( , <arg2> )* ) ? >",
     "type": "( <ann> * <id> <targs> ? ( '. <id> <targs> ? )* | <prim> ) @index *",
     "tparams": "< <id> ( extends <type> ( '& <type> )* ) ? ( , <id> ( extends <type> ( '& <type> )* ) ? )* >",
-    "mods": "( public | private | protected | static | final | abstract | synchronized | native | default | volatile | transient | strictfp | <ann> )*",
+    "mods": "( public | private | protected | static | final | abstract | synchronized | native | default | volatile | transient | strictfp | sealed (?= class | interface | abstract | public | private | protected | static | strictfp | @ | ID ) | ID - sealed | <ann> )*",
+    "assign": "= | += | -= | *= | /= | %= | &= | |= | ^= | <<= | >>= | >>>=",
+    "exprstmt": "<operand> ( (?<= @args | @cbody | '++ | -- ) (?! <bin> | '? | instanceof ) | ( <assign> ) <expr> ) | ( '++ | -- ) <operand>",
     "post": "'. ( <targs> ? <id> | class | this | super | new <id> <targs> ? @args ) | @args | @index | '++ | -- | :: ( <id> | new )",
     "prim_e": "NUM | STR | true | false | null | this | super | new <id> <targs> ? ( '. <id> <targs> ? )* ( @args @cbody ? | @index + @init ? ) | new <prim> @index + @init ? | <type> :: ( <id> | new ) | <prim> @index * '. class | @expr | switch @expr @swbody | <id>",
     "un": "( '+ | - | ! | ~ | '++ | -- | @cast )* ( <id> -> | @lparams -> )*",
@@ -277,12 +390,15 @@ JAVA_RULES = {
     "for": "( <decl> | <expr> ( , <expr> )* ) ? ; <expr> ? ; ( <expr> ( , <expr> )* ) ? | <mods> <type> <id> : <expr>",
     "res": "( <mods> <type> <id> = <expr> | <expr> ) ( ; ( <mods> <type> <id> = <expr> | <expr> ) )* ; ?",
     "catch": "<mods> <type> ( '| <type> )* <id>",
-    "heads": "( if @expr | else | while @expr | for @for | <id> : )*",
-    "simple": "@block | ; | return <expr> ? ; | yield <expr> ; | throw <expr> ; | ( break | continue ) <id> ? ; | assert <expr> ( : <expr> ) ? ; | <decl> ; | <expr> ; | try @res ? @block ( catch @catch @block )* ( finally @block ) ? | switch @expr @swbody | do @block while @expr ; | synchronized @expr @block | <class>",
-    "stmt": "(?> <heads> ( <simple> ) )",
+    "handled": "( catch @catch @block )+ ( finally @block ) ? | finally @block",
+    "simple": "@block | ; | return <expr> ? ; | yield <expr> ; | throw <expr> ; | ( break | continue ) <id> ? ; | assert <expr> ( : <expr> ) ? ; | <decl> ; | <exprstmt> ; | try ( @block ( <handled> ) | @res @block ( <handled> ) ? ) | switch @expr @swbody | do <stmt> while @expr ; | synchronized @expr @block | <class>",
+    "stmt": "(?> if @expr <stmt> ( else <stmt> ) ? | ( while @expr | for @for | <id> : ) <stmt> | <simple> )",
     "block": "( <stmt> )*+",
-    "caselabel": "case ( <expr> | <type> <id> | null ) ( , ( <expr> | default ) )* | default",
-    "swbody": "(?> <caselabel> ( : | -> ) | <stmt> )*+",
+    "pattern": "final ? <type> ( @params <id> ? | <id> )",
+    "noarrow": "(?> ( '+ | - | ! | ~ | '++ | -- | @cast )* ( <prim_e> ) ( <post> )* )",
+    "guard": "<noarrow> ( ( <bin> ) <noarrow> | instanceof final ? <type> ( <id> | @params ) ? )*",
+    "caselabel": "case ( <pattern> | <guard> ) ( , ( <pattern> | <guard> | default ) )* ( when <guard> ) ? | default",
+    "swbody": "(?> <caselabel> ( : | -> <expr> ; | -> ) | <stmt> )*+",
     "list": "<type> ( , <type> )*",
     "class": "<mods> ( ( class | interface ) <id> <tparams> ? ( extends <list> ) ? ( implements <list> ) ? ( <id> <list> ) ? @cbody | enum <id> ( implements <list> ) ? @ebody | record <id> <tparams> ? @params ( implements <list> ) ? @cbody | @ interface <id> @cbody )",
     "member": "(?> ; | static ? @block | <class> | <mods> <tparams> ? <type> ? <id> @params @index * ( throws <list> ) ? ( @block | ; | default ( <expr> | @init ) ; ) | <mods> <id> @block | <decl> ; )",
@@ -300,6 +416,9 @@ _C_QUAL = "const volatile restrict static extern inline register auto __inline _
 C_RULES = {
     "id": "ID",
     "qual": " | ".join(_C_QUAL.split()) + " | __attribute__ @any",
+    "asm": "( asm | __asm__ | __asm ) ( volatile | __volatile__ | inline | goto )* @asmbody",
+    "asmop": "( @index ) ? STR ( @expr ) ?",
+    "asmbody": "<id> ? ( STR <id> ? )+ ( : ( <asmop> ( , <asmop> )* | <id> ( , <id> )* ) ? )*",
     "prims": "( ( " + " | ".join(_C_PRIM.split()) + " ) ( <qual> )* )+",
     "base": "<prims> | ( struct | union ) <id> ( @sbody ) ? | ( struct | union ) @sbody | enum <id> ? @ebody | enum <id> | typeof @args | <id>",
     "spec": "( <qual> )* ( <base> ) ( <qual> )*",
@@ -330,11 +449,11 @@ C_RULES = {
     "sbody": "( <field> )*+",
     "ebody": "<id> ( = <expr1> ) ? ( , <id> ( = <expr1> ) ? )* , ?",
     "for": "( <decl> | <expr> ) ? ; <expr> ? ; <expr> ?",
-    "heads": "( if @expr | else | while @expr | for @for | switch @expr | <id> : | case <expr1> ( '... <expr1> ) ? : | default : )*",
-    "simple": "@block | ; | return ( <expr> | @init ) ? ; | ( break | continue ) ; | goto <id> ; | do @block while @expr ; | <decl> ; | <expr> ;",
-    "stmt": "(?> <heads> ( <simple> ) )",
-    "block": "( <stmt> )*+ ( <heads> )",
-    "top": "(?> ; | typedef ? <spec> <ptr> ( <id> | @declr ) @params @block | <decl> ; | extern STR @ctop | <id> @args ; ? )",
+    "label": "<id> : | case <expr1> ( '... <expr1> ) ? : | default :",
+    "simple": "@block | ; | return ( <expr> | @init ) ? ; | ( break | continue ) ; | goto ( '* <operand> | <id> ) ; | do <stmt> while @expr ; | <asm> ; | <decl> ; | <expr> ;",
+    "stmt": "(?> if @expr <stmt> ( else <stmt> ) ? | ( while @expr | for @for | switch @expr | <label> ) <stmt> | <simple> )",
+    "block": "( <stmt> )*+ ( <label> )*",
+    "top": "(?> ; | typedef ? <spec> <ptr> ( <id> | @declr ) @params ( <spec> <declr> ( , <declr> )* ; )* @block | <decl> ; | <asm> ; | extern STR @ctop | <id> @args ; ? )",
     "ctop": "( <top> )*+",
     "unit": "( <top> )*+",
 }
@@ -364,6 +483,7 @@ GO_RULES = {
     "assign": "= | := | += | -= | *= | /= | %= | &= | |= | ^= | &^= | <<= | >>=",
     "simple": "<exprs> ( ( <assign> ) <exprs> | '++ | -- | <- <expr> ) ?",
     "simple_n": "<exprs_n> ( ( <assign> ) <exprs_n> | '++ | -- | <- <expr_n> ) ?",
+    "statement": "<id> ( , <id> )* := <exprs> | <exprs> ( ( <assign> ) (?<! := ) <exprs> | '++ | -- | <- <expr> ) | <operand> (?<= @args ) | <- <operand>",
     "args": "( ( <expr> | <type> ) ( , ( <expr> | <type> ) )* ( '... ) ? , ? ) ?",
     "param": "<id> ( '... ) ? <type> | ( '... ) ? <type>",
     "params": "( <param> ( , <param> )* , ? ) ?",
@@ -388,7 +508,7 @@ GO_RULES = {
     "gen": "( var | const ) ( <vspec> | @vgroup ) | type ( <tspec> | @tgroup )",
     "ifhead": "if ( <simple_n> ? ; ) ? <expr_n> @block",
     "forhead": "for ( <simple_n> ? ; <expr_n> ? ; <simple_n> ? | ( <exprs_n> ( := | = ) ) ? range <expr_n> | <expr_n> ) ? @block",
-    "stmt": "(?> ( <id> : ) ? ( <ifhead> ( else <ifhead> )* ( else @block ) ? | <forhead> | switch ( <simple_n> ? ; ) ? <simple_n> ? @swbody | select @swbody | return <exprs> ? | ( go | defer ) <expr> | ( break | continue ) <id> ? | goto <id> | fallthrough | @block | <gen> | <simple> ) ? (?= ; | <end> | case | default ) )",
+    "stmt": "(?> ( <id> : ) ? ( <ifhead> ( else <ifhead> )* ( else @block ) ? | <forhead> | switch ( <simple_n> ? ; ) ? <simple_n> ? @swbody | select @swbody | return <exprs> ? | ( go | defer ) <expr> | ( break | continue ) <id> ? | goto <id> | fallthrough | @block | <gen> | <statement> ) ? (?= ; | <end> | case | default ) )",
     "end": "(?! . )",
     "block": "( <stmt> ; )*+ <stmt> ?",
     "swbody": "( (?> ( case ( <exprs> | <type> ( , <type> )* | <simple> ) | default ) : ; ? | <stmt> ; ) )*+ ( case ( <exprs> | <type> ( , <type> )* | <simple> ) : | default : ) ? <stmt> ?",
@@ -459,7 +579,7 @@ RUST_RULES = {
     "item": "<attr> * <vis> ( <fn> | struct <id> <generics> ? ( <where> ? ( @fields | ; ) | @tfields <where> ? ; ) | ( enum | union ) <id> <generics> ? <where> ? ( @variants | @fields ) | unsafe ? impl <generics> ? ( ! ? <type> for ) ? <type> <where> ? @ibody | unsafe ? auto ? trait <id> <generics> ? ( : <bounds> ? ) ? <where> ? @ibody | mod <id> ( ; | @mod ) | use <utree> ; | ( const | static mut ? ) ( <id> ) : <type> ( = <expr> ) ? ; | type <id> <generics> ? ( : <bounds> ) ? <where> ? ( = <type> ) ? ; | extern crate <seg> ( as <id> ) ? ; | unsafe ? extern STR ? @ibody | macro_rules ! <id> @any ; ? )",
     "ibody": "(?> <item> | <attr> | <mac> ; ? )*+",
     "mod": "(?> <item> | <attr> | <mac> ; ? )*+",
-    "stmt": "(?> ; | <attr> * let <pat> ( : <type> ) ? ( = <expr> ( else @block ) ? ) ? ; | <item> | <expr> ; | <attr> * <blocky> (?! '. | '? ) | <attr> * <path> ! @any (?! '. | '? | <bin> ) )",
+    "stmt": "(?> ; | <attr> * let <pat> ( : <type> ) ? ( = <expr> ( else @block ) ? ) ? ; | <attr> * <blocky> (?! '. | '? | <bin> | as | @args | @array ) | <item> | <expr> ; | <attr> * <blocky> (?! '. | '? ) | <attr> * <path> ! @any (?! '. | '? | <bin> ) )",
     "block": "( <stmt> )*+ <expr> ?",
     "unit": "(?> <item> | <attr> | <mac> ; ? )*+",
 }
@@ -487,6 +607,8 @@ JS_RULES = {
     "heritage": "( extends <operand> ) ?",
     "pname": "<any_name> | STR | NUM | @array | '# <any_name>",
     "fn": "async ? function '* ? <id> ? <tparams> @params <ret> @block",
+    "fnd": "async ? function '* ? <id> <tparams> @params <ret> @block",
+    "clsd": "( @ <operand> <n> )* class (?! extends | implements ) <id> <tparams> <heritage> @cbody",
     "cls": "( @ <operand> <n> )* class ( (?! extends | implements ) <id> ) ? <tparams> <heritage> @cbody",
     "arrow": "async ? ( <id> | <tparams> @params <ret> ) => <n>",
     "post": "'. ( <any_name> | '# <any_name> ) | ?. ( <any_name> | @args | @array | '# <any_name> ) | <gcall> ? @args | @array | STR | <bang>",
@@ -512,18 +634,20 @@ JS_RULES = {
     "prop": "<meth> @block | ( <pname> ) : <n> <expr1> | <id> ( = <expr1> ) ? | '... <expr1>",
     "object": "<n> ( <prop> <n> ( , <n> <prop> <n> )* , ? ) ? <n>",
     "catch": "( <id> | @objpat | @arrpat ) <ann>",
-    "vars": "( const | let | var ) <n> <bind> ( = <n> <expr1> ) ? ( , <n> <bind> ( = <n> <expr1> ) ? )*",
+    "var": "<bind> = <n> <expr1> | <id> <bang> ? <ann>",
+    "bare": "(?! )",
+    "vars": "( let | var ) <n> ( <var> ) ( , <n> ( <var> ) )* | const <n> ( <bind> = <n> <expr1> | <bare> ) ( , <n> ( <bind> = <n> <expr1> | <bare> ) )*",
     "for": "( <vars> | <expr> ) ? ; <expr> ? ; <expr> ? | ( ( const | let | var ) ( <id> | @objpat | @arrpat ) | <operand> ) ( of | in ) <expr>",
     "spec": "( type ) ? ( <any_name> | STR ) ( as ( <any_name> | STR ) ) ?",
     "specs": "<n> ( <spec> <n> ( , <n> <spec> <n> )* , ? ) ? <n>",
     "with": "( ( <id> | with ) @object ) ?",
     "import": "import ( type ) ? ( ( <id> , ? ) ? ( '* as <id> | @specs ) ? from ) ? STR <with>",
-    "export": "export ( type ? @specs ( from STR <with> ) ? | type ? '* ( as ( <any_name> | STR ) ) ? from STR <with> | default ( <fn> | <cls> ) (?! '. ) | default <expr1> | <vars> | <fn> | <cls> )",
-    "heads": "( if @expr <n> | else <n> | while @expr <n> | for await ? @for <n> | <id> : <n> )*",
-    "tail": "( try @block <n> ( catch @catch ? @block <n> ) ? ( finally @block ) ? | switch @expr @swbody | <fn> (?! '. ) | <cls> (?! '. ) | @block | export default ? async ? function '* ? <id> ? <tparams> @params <ret> @block | export default ? <cls> )",
+    "export": "export ( type ? @specs ( from STR <with> ) ? | type ? '* ( as ( <any_name> | STR ) ) ? from STR <with> | default ( <fn> | <cls> ) (?! '. ) | default <expr1> | <vars> | <fnd> | <clsd> )",
+    "handled": "catch @catch ? @block <n> ( finally @block ) ? | finally @block",
+    "tail": "( try @block <n> ( <handled> ) | switch @expr @swbody | <fnd> (?! '. ) | <clsd> (?! '. ) | @block | export default ? async ? function '* ? <id> ? <tparams> @params <ret> @block | export default ? <cls> )",
     "tsdecl": "(?! )",
-    "simple": "<tail> <t> ? | do <n> @block <n> while @expr <t> ? | ( <import> | <export> | <vars> | return ( <seq> ) ? | throw <seq> | ( break | continue ) <id> ? | debugger | <tsdecl> | <seq> ) <t> | ; <n>",
-    "stmt": "(?> (?! @object <t> ? <end> ) <heads> ( <simple> ) | <heads> @block <t> ? )",
+    "simple": "<tail> <t> ? | do <n> <stmt> <n> while @expr <t> ? | ( <import> | <export> | <vars> | return ( <seq> ) ? | throw <seq> | ( break | continue ) <id> ? | debugger | <tsdecl> | (?! function | class | async function ) <seq> ) <t> | ; <n>",
+    "stmt": "(?> if @expr <n> <stmt> ( <n> else <n> <stmt> ) ? | ( while @expr | for await ? @for | with @expr | <id> : ) <n> <stmt> | (?! @object <t> ? <end> ) ( <simple> ) | @block <t> ? )",
     "block": "[;NL]* ( <stmt> )*+",
     "swbody": "<n> ( (?> ( case <seq> | default ) : <n> | <stmt> ) )*+",
     "member": "(?> [;NL] | ( @ <operand> <n> )* ( <mod> )* ( <meth> ( @block | <sig> ) | static @block | ( static )* ( <pname> ) <opt> <bang> ? <ann> ( = <n> <expr1> ) ? <t> | <tsmember> ) )",
@@ -547,6 +671,7 @@ TS_RULES = JS_RULES | {
     "asx": "as ( const | <type> ) | satisfies <type>",
     "bang": "!",
     "heritage": "( extends <operand> <targs> ? ) ? ( implements <type> ( , <type> )* ) ?",
+    "bare": "<id> : <type>",
     "tuple": "<n> ( ( '... ) ? ( <id> '? ? : ) ? <type> '? ? ( , ( '... ) ? ( <id> '? ? : ) ? <type> '? ? )* , ? ) ?",
     "partype": "<type>",
     "tmeth": "( get | set | new )* ( <pname> ) ? '? ? <tparams> @params <ret>",
@@ -575,12 +700,15 @@ class _GoGrammar(Grammar):
     def flat(self, text: str) -> str:
         kinds = super().flat(text + "\n")
         kinds = self._ends.sub(self._semi, kinds).replace(self._nl, "")
-        return kinds if kinds.lstrip(self._semi).startswith(self.char["package"]) else self.char["ERR"]
+        begun = kinds.lstrip(self._semi)
+        return kinds if not begun or begun.startswith(self.char["package"]) else self.char["ERR"]
 
 
 class _JsGrammar(Grammar):
     """JavaScript and TypeScript: line ends may close statements, but not before or after an operator."""
 
+    last = ("", "")
+
     def __init__(self, *a, **k):
         super().__init__(*a, **k)
         c = self.char
@@ -593,6 +721,12 @@ class _JsGrammar(Grammar):
         self._nl = nl
 
     def flat(self, text: str) -> str:
+        if text == _JsGrammar.last[0]:  # JavaScript and TypeScript have the same tokens
+            return _JsGrammar.last[1]
+        _JsGrammar.last = (text, self._flat(text))
+        return _JsGrammar.last[1]
+
+    def _flat(self, text: str) -> str:
         if text.startswith("#!"):
             text = text[text.find("\n") :] if "\n" in text else ""
         return self._more.sub(self._nl, self._drop.sub("", super().flat(text)))
@@ -659,19 +793,45 @@ class Languages:
             self._made[name] = _BUILD[name]()
         return self._made[name]
 
-    def fits(self, name: str, text: str, markup: bool = True) -> bool:
-        """Does ``text`` fit the grammar of ``name``? ``markup``: elements are allowed (.jsx, .tsx, .js)."""
+    def fits(self, name: str, text: str, markup: bool = True, early: bool = False) -> bool:
+        """Does ``text`` fit the grammar of ``name``? ``markup``: elements are allowed (.jsx, .tsx, .js).
+
+        ``early`` looks at the opening first, which is cheaper where a text most likely does not fit.
+        """
         if name == "python":
             return python_fits(text)
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         if "\0" in text:
             return False
         g = self.grammar(name)
+        elements = markup and name in ("javascript", "typescript") and ("</" in text or "/>" in text) and _JSX_START.search(text) is not None
+        if early and not elements and not g.may_fit(text):
+            return False
         if g.fits(text):
             return True
-        if markup and name in ("javascript", "typescript") and ("</" in text or "/>" in text) and _JSX_START.search(text):
-            return g.fits(_jsx_out(text))
-        return False
+        if name == "c" and _BRANCH.search(text) and g.fits(first_branches(text)):
+            return True
+        return elements and g.fits(_jsx_out(text))
+
+
+_BRANCH = re.compile(r"^[ \t]*#[ \t]*(?:else|elif)\b", re.M)
+_CONDITION = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b")
+
+
+def first_branches(text: str) -> str:
+    """``text`` with only the first branch of each preprocessor condition; later branches become blank lines."""
+    out, hidden = [], []
+    for line in text.split("\n"):
+        m = _CONDITION.match(line)
+        if m and m[1].startswith("if"):
+            hidden.append(False)
+        elif m and hidden:
+            if m[1] == "endif":
+                hidden.pop()
+            else:
+                hidden[-1] = True
+        out.append("" if any(hidden) else line)
+    return "\n".join(out)
 
 
 def python_fits(text: str) -> bool:
@@ -684,12 +844,17 @@ def python_fits(text: str) -> bool:
     return True
 
 
+#: A modifier that stands twice, or two of access, without an annotation between them.
+_MODIFIERS = "public private protected static final abstract synchronized native transient volatile strictfp"
+_TWICE = f"({{{_MODIFIERS}}}){{{_MODIFIERS}}}*\\1|{{public private protected}}{{{_MODIFIERS}}}*{{public private protected}}"
+
+
 def _java() -> Grammar:
-    keywords = "yield package import static public private protected final abstract synchronized native default volatile transient strictfp class interface enum record extends implements throws throw new return if else while for do try catch finally switch case break continue assert instanceof this super true false null goto const " + _JAVA_PRIM
+    keywords = "sealed when yield package import static public private protected final abstract synchronized native default volatile transient strictfp class interface enum record extends implements throws throw new return if else while for do try catch finally switch case break continue assert instanceof this super true false null goto const " + _JAVA_PRIM
     text_block = r'"""(?:[^\\]|\\.)*?"""'
     tokens = "|".join([r"//[^\n]*", _BLOCK_COMMENT, text_block, _STRING, _CHAR, _NUM, r"(?:[^\W\d]|\$)(?:\w|\$)*", _ops(_JAVA_OPS), r"[()\[\]{}]", r"\S"])
     groups = {"(": ["args", "annargs", "cast", "params", "lparams", "expr", "for", "res", "catch"], "[": ["index"], "{": ["block", "cbody", "ebody", "init", "swbody"]}
-    return _Dropping(tokens, keywords, _JAVA_OPS, JAVA_RULES, groups, "unit", {"block": ("<stmt>", ""), "cbody": ("<member>", ""), "swbody": ("<caselabel> ( : | -> ) | <stmt>", ""), "unit": ("<ann> * package <name> ; | import static ? <name> ( '. '* ) ? ; | ; | <class>", "")})
+    return _Dropping(tokens, keywords, _JAVA_OPS, JAVA_RULES, groups, "unit", {"block": ("<stmt>", ""), "cbody": ("<member>", ""), "swbody": ("<caselabel> ( : | -> <expr> ; | -> ) | <stmt>", ""), "unit": ("<ann> * package <name> ; | import static ? <name> ( '. '* ) ? ; | ; | <class>", "")}, never=_TWICE)
 
 
 class _Dropping(Grammar):
@@ -700,45 +865,29 @@ class _Dropping(Grammar):
 
 
 def _c() -> Grammar:
-    keywords = "PREPROC typedef struct union enum sizeof typeof __attribute__ if else while for do switch case default break continue goto return " + _C_PRIM + " " + _C_QUAL
+    keywords = "PREPROC asm __asm__ __asm __volatile__ typedef struct union enum sizeof typeof __attribute__ if else while for do switch case default break continue goto return " + _C_PRIM + " " + _C_QUAL
     directive = r"(?:(?<=\n)|(?<![\s\S]))[ \t]*#[ \t]*(?:(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|error|warning|pragma|line|ident|import)\b|\d+ \")(?:[^\n\\]|\\.|/\*.*?\*/)*"
     tokens = "|".join([r"//[^\n]*", _BLOCK_COMMENT, directive, r'(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*"', r"[uUL]?'(?:[^'\\\n]|\\.)*'", _NUM, _NAME, _ops(_C_OPS), r"[()\[\]{}]", r"\S"])
-    groups = {"(": ["args", "type", "params", "declr_g", "expr", "for"], "[": ["index"], "{": ["block", "sbody", "ebody", "init", "ctop"]}
+    groups = {"(": ["args", "type", "params", "declr_g", "expr", "for", "asmbody"], "[": ["index"], "{": ["block", "sbody", "ebody", "init", "ctop"]}
     rules = {k: v.replace("@declr ", "@declr_g ").replace("@declr)", "@declr_g)") for k, v in C_RULES.items()}
-    return _CGrammar(tokens, keywords, _C_OPS, rules, groups, "unit", {"block": ("<stmt>", "<heads>"), "sbody": ("<field>", ""), "unit": ("<top>", "")})
-
-
-class _CGrammar(_Dropping):
-    def flat(self, text: str) -> str:
-        kinds = []
-        get = self.kinds.__getitem__
-        for t in self.token.findall(text):
-            s = t.lstrip(" \t")
-            kinds.append("" if s[:1] == "#" and len(s) > 1 else get(t))
-        return "".join(kinds).replace(self.char["NL"], "")
+    return _Dropping(tokens, keywords, _C_OPS, rules, groups, "unit", {"block": ("<stmt>", "( <label> )*"), "sbody": ("<field>", ""), "ctop": ("<top>", ""), "init": ("<initem> ,", "<initem> ?"), "unit": ("<top>", "")})
 
 
 def _go() -> Grammar:
     keywords = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
     tokens = "|".join([r"//[^\n]*", _BLOCK_COMMENT, r"`[^`]*`", _STRING, _CHAR, _NUM, _NAME, _ops(_GO_OPS), r"[()\[\]{}]", r"\n", r"\S"])
     groups = {"(": ["args", "params", "partype", "tassert", "expr", "vgroup", "tgroup", "imports"], "[": ["index", "arr", "slice", "targs"], "{": ["block", "sbody", "ibody", "lit", "swbody"]}
-    return _GoGrammar(tokens, keywords, _GO_OPS, GO_RULES, groups, "unit", {"block": ("<stmt> ;", "<stmt> ?"), "unit": ("; | package <id> ; | import ( <impspec> | @imports ) ; | ( <fn> | <gen> ) ;", "( <fn> | <gen> ) ?")})
+    return _GoGrammar(tokens, keywords, _GO_OPS, GO_RULES, groups, "unit", {"block": ("<stmt> ;", "<stmt> ?"), "lit": ("<litem> ,", "<litem> ? ; ?"), "unit": ("; | package <id> ; | import ( <impspec> | @imports ) ; | ( <fn> | <gen> ) ;", "( <fn> | <gen> ) ?")})
 
 
 def _rust() -> Grammar:
     keywords = "LIFETIME as async await box break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type union unsafe use where while yield auto default macro_rules _"
     comment = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"
-    raw = r'b?r(#*)".*?"\1'
-    tokens = "|".join([r"//[^\n]*", comment, raw.replace("(#*)", "(?P<h>#*)").replace("\\1", "(?P=h)"), r'[bc]?"(?:[^"\\]|\\.)*"', r"b?'(?:[^'\\\n]|\\(?:u\{[^}]*\}|x..|.))'", r"'[^\W\d]\w*", r"r#[^\W\d]\w*", _NUM, _NAME, _ops(_RUST_OPS), r"[()\[\]{}]", r"\S"])
+    raw = "(?=b?r[#\"])(?:" + "|".join(rf'b?r{"#" * n}".*?"{"#" * n}' for n in range(9)) + ")"
+    tokens = "|".join([r"//[^\n]*", comment, raw, r'[bc]?"(?:[^"\\]|\\.)*"', r"b?'(?:[^'\\\n]|\\(?:u\{[^}]*\}|x..|.))'", r"'[^\W\d]\w*", r"r#[^\W\d]\w*", _NUM, _NAME, _ops(_RUST_OPS), r"[()\[\]{}]", r"\S"])
     groups = {"(": ["args", "tytuple", "ptuple", "params", "tfields"], "[": ["array", "pslice"], "{": ["block", "slit", "pstruct", "arms", "fields", "variants", "ibody", "utrees"]}
     rules = {k: v.replace("@index", "@array").replace("@pargs", "@ptuple").replace("@mod", "@ibody") for k, v in RUST_RULES.items()}
-    return _RustGrammar(tokens, keywords, _RUST_OPS, rules, groups, "unit", {"block": ("<stmt>", "<expr> ?"), "ibody": ("<item> | <attr> | <mac> ; ?", ""), "unit": ("<item> | <attr> | <mac> ; ?", "")}, always=True)
-
-
-class _RustGrammar(_Dropping):
-    def flat(self, text: str) -> str:
-        get = self.kinds.__getitem__
-        return "".join([get(m.group()) for m in self.token.finditer(text)]).replace(self.char["NL"], "")
+    return _Dropping(tokens, keywords, _RUST_OPS, rules, groups, "unit", {"block": ("<stmt>", "<expr> ?"), "ibody": ("<item> | <attr> | <mac> ; ?", ""), "unit": ("<item> | <attr> | <mac> ; ?", "")}, always=True)
 
 
 def _js(ts: bool) -> Grammar:
@@ -748,7 +897,7 @@ def _js(ts: bool) -> Grammar:
         groups["("].append("partype")
         groups["["] += ["tuple", "mapped"]
         groups["{"] += ["objtype", "enums"]
-    return _JsGrammar(_JS_TOKENS, f"with {_JS_KW} {_JS_CTX} {_TS_CTX}", _JS_OPS, rules, groups, "unit", {m: (i, "") for m, i in (("block", "; | NL | <stmt>"), ("unit", "; | NL | <stmt>"), ("cbody", "<member>"), ("swbody", "( case <seq> | default ) : | ; | NL | <stmt>"))})
+    return _JsGrammar(_JS_TOKENS, f"with {_JS_KW} {_JS_CTX} {_TS_CTX}", _JS_OPS, rules, groups, "unit", {m: (i, "") for m, i in (("block", "; | NL | <stmt>"), ("unit", "; | NL | <stmt>"), ("cbody", "<member>"), ("swbody", "( case <seq> | default ) : | ; | NL | <stmt>"))} | ({"objtype": ("<tmember> ( , NL * | ( ; | NL )+ )", "<tmember> ?")} if ts else {}))
 
 
 _BUILD = {"java": _java, "c": _c, "go": _go, "rust": _rust, "javascript": lambda: _js(False), "typescript": lambda: _js(True)}

@@ -53,6 +53,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check_files(table(spark, d, "chunk_doc")).where("state != 'valid'").select("repo", "relative_path")
 
 
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every file of a supported extension with its state and the language whose grammar it fits."""
+    return syntax.check_files(table(spark, d, "chunk_doc"))
+
+
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(syntax.check_files(table(spark, d, "chunk_doc")))
 
@@ -69,7 +74,7 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def _limits(spark: SparkSession, d: str) -> dict[str, int]:
     """The named sizes; the table has a row for each and does not grow."""
-    return {r["limit_name"]: int(r["n_tokens"]) for r in table(spark, d, "size_limit").where("limit_name is not null and n_tokens is not null").limit(100).collect()}
+    return {r["limit_name"]: int(r["n_tokens"]) for r in table(spark, d, "size_limit").where(F.col("limit_name").isin("container_capacity", "piece_limit", "piece_overlap") & F.col("n_tokens").isNotNull()).collect()}
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Source files that do not fit the grammar of their language.
 
-Every file is checked against the grammar of its extension's language. A file
-that fails is checked against all other grammars, in the order of a ranking by
-typical tokens; the first that fits shows a wrong extension, and a text that no
-grammar accepts is corrupt (cut off, merged badly, or no source at all).
+Every file is parsed against the grammars of all supported languages, in the
+order of a ranking by typical tokens. A file that fits the grammar of its
+extension's language is valid; one that fits only others has a wrong extension,
+and the first of them in the ranking names its language; one that no grammar
+accepts is corrupt (cut off, merged badly, or no source at all). Foreign grammars
+look at a text's opening first, which rules most of them out without reading on.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,32 +24,40 @@ from skein.llm.grammars import Languages
 LANGUAGE_OF = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".rs": "rust", ".go": "go", ".java": "java", ".c": "c", ".h": "c"}
 #: Tokens that are typical of a language.
 TYPICAL = {
-    "python": r"^\s*def \w+\(.*\).*:|^from [\w.]+ import|^import \w+$|\bself\b|\bNone\b|^\s*elif\b",
-    "typescript": r"^\s*interface \w+|: (?:string|number|boolean|void|any)\b|^import \{|^export |=> |\bas \w+|\breadonly\b",
-    "javascript": r"^\s*(?:const|let|var) \w+ =|^import .* from|\bfunction\b|=> |===|^export |\brequire\(",
-    "rust": r"\bfn \w+|\blet mut\b|^use \w+::|\bimpl\b|&str\b|\bOk\(|::\w+!",
-    "go": r"^package \w+$|\bfunc \w*\(|:= |\bnil\b|^import \(|\bdefer\b",
-    "java": r"^package [\w.]+;|^import [\w.]+;|\bpublic (?:class|static|final)|\bprivate \w+|\bthrow new\b",
-    "c": r"^#include|\bsizeof\(|\bstruct \w+ \{|\bconst char ?\*|->\w+|\bNULL\b",
+    "python": ("def ", "elif ", "self.", "None", "):\n"),
+    "typescript": (": string", ": number", "interface ", "export ", "=> "),
+    "javascript": ("const ", "function", "require(", "===", "=> "),
+    "rust": ("fn ", "let mut ", "impl ", "&str", "::"),
+    "go": ("package ", "func ", ":= ", "nil", "import ("),
+    "java": ("public ", "private ", "throw new ", "import java", "final "),
+    "c": ("#include", "#define", "sizeof(", "struct ", "->"),
 }
-_TYPICAL = {k: re.compile(v, re.M) for k, v in TYPICAL.items()}
 
 
 def ranked(text: str) -> list[str]:
-    """All supported languages, those with more typical tokens first."""
-    score = {k: len(p.findall(text)) for k, p in _TYPICAL.items()}
-    return sorted(score, key=lambda k: (-score[k], k))
+    """All supported languages, those of which the text holds more typical tokens first."""
+    return sorted(TYPICAL, key=lambda k: (-sum(w in text for w in TYPICAL[k]), k))
+
+
+def fitting(languages: Languages, extension: str, text: str) -> list[str]:
+    """The languages whose grammar the whole of ``text`` fits, in the order of their rank."""
+    own = LANGUAGE_OF[extension]
+    likely = (own, "typescript") if own == "javascript" else (own,)  # every script is nearly always a typed one too
+    return [k for k in ranked(text) if languages.fits(k, text, markup=extension != ".ts" or k != own, early=k not in likely)]
 
 
 def verdict(languages: Languages, extension: str, text: str) -> tuple[str, str | None]:
     """``(state, language found)`` with state ``valid``, ``foreign`` or ``corrupt``."""
-    own = LANGUAGE_OF[extension]
-    if languages.fits(own, text, markup=extension != ".ts"):
-        return "valid", own
-    for other in ranked(text):
-        if other != own and languages.fits(other, text):
-            return "foreign", other
-    return "corrupt", None
+    found = fitting(languages, extension, text)
+    if LANGUAGE_OF[extension] in found:
+        return "valid", LANGUAGE_OF[extension]
+    return ("foreign", found[0]) if found else ("corrupt", None)
+
+
+@lru_cache(maxsize=1)
+def _languages() -> Languages:
+    """Compiled once in a worker, whatever the number of its tasks."""
+    return Languages()
 
 
 def check_files(chunks: DataFrame) -> DataFrame:
@@ -57,7 +67,7 @@ def check_files(chunks: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = Languages()
+        languages = _languages()
         for batch in batches:
             repo, path, ext, text = (batch.column(i) for i in range(4))
             found = [verdict(languages, e, t) for e, t in zip(ext.to_pylist(), text.to_pylist(), strict=True)]
