@@ -37,7 +37,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every code file with the reason, the forest's score and the mark."""
+    """Every code file with its label, the forest's score and the mark."""
     return provenance.mark_files(table(spark, d, "chunk_doc"))
 
 
