@@ -49,6 +49,11 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(table(spark, d, "chunk_doc"), table(spark, d, "vector_doc"))
 
 
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of both tables with secrets redacted; those without one are unchanged."""
+    return secrets.redact(table(spark, d, "chunk_doc"), table(spark, d, "vector_doc"), only_changed=False)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check_files(table(spark, d, "chunk_doc")).where("state != 'valid'").select("repo", "relative_path")
 

@@ -1,13 +1,14 @@
 """Credentials in source code, configuration and notes, and texts with them removed.
 
-1. Literals that stand where a secret would (a secret's name before it, a known
-   token format, user info of a URL, a header, an option, a call) are extracted
-   with their place.
-2. They are indexed over the whole corpus: a value with many different owners is
-   a placeholder that people share, and is suppressed.
-3. Rare values with the structure of a secret are confirmed.
-4. Every text is scanned again with an automaton of the confirmed values, which
-   finds them where nothing around them tells.
+1. Literals with the structure of a secret that stand where one would (a secret's
+   name before it, a known token format, user info of a URL, a header, an option,
+   a call, a sentence) are taken out with their place.
+2. An index of the whole corpus, one entry per text and run of letters and digits,
+   tells in which texts such a value may stand, whatever is around it there.
+   These texts are scanned with an automaton of just these values, so no task
+   and no driver ever holds all values, and the corpus is read once for them.
+3. A value that many different owners hold is a placeholder that people share, and
+   is suppressed; all places of the others are confirmed.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.runtime import Stage
 
 #: Names of secrets, and formats of well-known tokens.
-_NAME = r"passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|encryption[_ -]?key|signing[_ -]?key|auth[_ -]?key|credential|bearer|passcode|smtp[_-]?pass|(?<![a-z])pass(?![a-z])"
+_NAME = r"passw(?:or)?[dt]|kennwort|contrase[nñ]a|passphrase|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|encryption[_ -]?key|signing[_ -]?key|auth[_ -]?key|credential|bearer|passcode|smtp[_-]?pass|(?<![a-z])pass(?![a-z])"
 KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abeoprs]-[0-9A-Za-z-]{16,}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}"
     r"|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|npm_[0-9A-Za-z]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|whsec_[A-Za-z0-9+/=]{16,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{24,}|shp(?:at|ss|ca|pa)_[0-9a-fA-F]{32}|dop_v1_[0-9a-f]{64}|ya29\.[\w-]{20,}|sq0(?:csp|atp)-[\w-]{22,}|pypi-[\w-]{40,}|dckr_pat_[\w-]{20,}|lin_api_[A-Za-z0-9]{32,}|xapp-[0-9A-Za-z-]{16,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{16,})"
@@ -42,8 +43,9 @@ _DEFINE = re.compile(rf"\s*#\s*define\s+(\w*(?:{_NAME})\w*)\s+(?=\S)", re.I)
 _SETTING = re.compile(r"\s*(?:(?:export|set|ENV|ARG)\s+|[-*#]\s+|//\s*)?[\w.-]*$")
 _CHECKSUM = re.compile(r"sha\d+$|md5$|checksum$|hash$|digest$|icon$", re.I)
 _CALL = re.compile(r"\b\w*(?:log_?in|sign_?in|authenticate|authorize|connect|credential|password|passwd|auth)\w*\s*\(", re.I)
-_PROSE = re.compile(rf"\b[\w -]*(?:{_NAME}|\bkey)\b[\w ]*?\b(?:was|is|are|equals?)\s+[`\"']?([^\s`\"',]+)", re.I)
-_USE = re.compile(rf"[`\"']([^`\"'\s]+)[`\"']\s+(?:as|for|is|works as)\s+(?:the|our|a|my)?\s*[\w -]*(?:{_NAME}|\bkey)\b(?![\w ]*\b(?:path|field|name|pattern|template|url|icon)\b)", re.I)
+#: A secret's name as a word of a sentence, and what a sentence may call one: a quoted literal without blanks, or the word behind a verb.
+_WORD = re.compile(rf"(?<![\w.$/-])(?:{_NAME}|key)s?(?![\w=(\[./-]|\s*[=:])(?![\w ]*\b(?:path|field|name|pattern|template|url|icon)\b)", re.I)
+_CALLED = re.compile(r"[`\"']([^`\"'\s]+)[`\"']|\b(?:was|is|are|equals?)\s+([^\s`\"',]+)", re.I)
 _QUOTED = re.compile(r"\"((?:[^\"\\]++|\\.)*+)\"|'((?:[^'\\]++|\\.)*+)'|`([^`]*+)`")
 _BODY = re.compile(r"(?:\s*(?:\"\"|''|[|>][+-]?|\(|\\|\+|\.|[\w.:!]+\(|(?:b|r|u|f|L)(?=[\"'])|&)\s*)*")
 _MORE = re.compile(r"(?:\s*\\?\s*[+,.]?\s*\\?\s*)(?=[\"'`])")
@@ -51,7 +53,7 @@ _KEYED = re.compile(r"\s*[:=]")
 _BARE = re.compile(r"[^\s\"'`;,#][^\s\"'`;,]*")
 _LINE_ENDS = re.compile(r"\s*(?:[;,]\s*)?(?:#.*)?(?:\n|\Z)")
 #: Names of passwords, behind which short values and values with blanks count too; words of prompts and messages.
-_PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|passwd|pwd|passcode)$", re.I)
+_PASSWORD = re.compile(r"(?:passw(?:or)?[dt]|kennwort|contrase[nñ]a|passphrase|passwd|pwd|passcode)$", re.I)
 _QUOTED_OPTION = re.compile(r"--?[\w-]*(?:password|passphrase|passwd|pwd|passcode)(?:=|\s+)([\"'])((?:(?!\1)[^\n])+ (?:(?!\1)[^\n])+)\1", re.I)
 _MESSAGE = re.compile(
     r"(?i)\b(?:passw(?:or)?ds?|passphrases?|passwd|pwd|secret|token|key|credentials?|login|enter|type|please|your|must|is|are|be|was|the|required?|invalid|wrong|incorrect|missing|empty|confirm|forgot(?:ten)?|reset|change|repeat|minimum|maximum|characters?|least|not|should|cannot|can|if|from|select|where|and|or|none|null|error|failed)\b|[?:…]$"
@@ -62,11 +64,12 @@ _PLACEHOLDER = re.compile(
     r"<[\w .-]+>|\{[\w. -]*\}|\[[^\]]+\][{*+?]?|\(.*\|.*\)|\[\^|^\$[\w{(]|^%[\w(]+%?$|\$\{|\{\{|^x{3,}$|^[.*x-]+$|change[_-]?me|replace[_-]?me|your[_-]|placeholder|dummy|sample|redacted|^todo|^fixme|^none$|^null$|^true$|^false$|^undefined$|not[_-]?set|^test$|^example|^insert|\.\.\.|^https?://|^data:|/secrets?/|^projects/", re.I
 )
 #: Lower-case parts of which every match of a rule holds one (the shortest literal of each); the known formats need no line of their own.
-_PARTS = "pass pwd secret token key credential bearer auth sig basic login log_in connect ://".split()
+_PARTS = "pass kennwort contrase pwd secret token key credential bearer auth sig basic login log_in connect ://".split()
 #: Letters that a pattern without regard to case takes for ``s`` or ``i`` although their lower case is another.
 _FOLDED = {"\u017f": "s", "\u0131": "i", "\u0130": "i"}
 _FORMATS = "akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ sk_test_ pk_live_ pk_test_ rk_live_ rk_test_ aiza glpat- npm_ sg. hf_ whsec_ sk- shpat_ shpss_ shpca_ shppa_ dop_v1_ ya29. sq0 pypi- dckr_pat_ lin_api_ xapp- eyj".split()
-ROWS = "tab string, id string, owner string, line_no long, start long, stop long, value string, rule string"
+ROWS = "tab string, id string, owner string, doc long, line_no long, start long, stop long, value string, rule string"
+_NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
 @lru_cache(maxsize=1)
@@ -124,9 +127,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, stop, value, rule)`` of the secrets in one text, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
     for m in PEM.finditer(text):
-        after = re.sub(r"\\n|[\"'`+\s,.()\\]|concat!|#|//|\|", "", text[m.end() : m.end() + 160])
+        stop = _pem_end(text, m.end())
+        after = re.sub(r"\\n|[\"'`+\s,.()\\]|concat!|#|//|\|", "", text[m.end() : stop])
         if re.match(r"[A-Za-z0-9+/=]{24,}|Proc-Type|Version", after):
-            found.append((m.start(), _pem_end(text, m.end()), m.group(), "pem"))
+            found.append((m.start(), stop, m.group(), "pem"))
     for m in KNOWN.finditer(text):
         found.append((m.start(), m.end(), m.group(), "format"))
     done = -1
@@ -174,11 +178,12 @@ def _in_line(line: str) -> list[tuple[int, int, str, str]]:
     for m in _QUOTED_OPTION.finditer(line):
         if _password("password", m[2]):
             out.append((m.start(2), m.end(2), m[2], "option"))
-    for p in (_PROSE, _USE):
-        for m in p.finditer(line):
-            v = m[1].rstrip(".;:!)") if p is _PROSE and m[1][-1:] in ".;:)" else m[1]
-            if structured(v, True) and _password_like(v) and re.search(r"\d|[A-Z].*[A-Z]", v):
-                out.append((m.start(1), m.start(1) + len(v), v, "prose"))
+    if _WORD.search(line):
+        for m in _CALLED.finditer(line):
+            k = 1 if m[1] else 2
+            v = m[2].rstrip(".;:!)") if k == 2 and m[2][-1:] in ".;:)" else m[k]
+            if structured(v, True) and _password_like(v) and re.search(r"\d", v) and not re.search(r"^[\w./-]+\.\w{1,5}$|^[A-Za-z]+[_-]?\d+$|[(\[{<]", v):
+                out.append((m.start(k), m.start(k) + len(v), v, "prose"))
     c = _CALL.search(line)
     if c and not _LOOKED_UP.search(c.group()):
         literals = [(q, next(g for g in q.groups() if g is not None)) for q in _QUOTED.finditer(line, c.end())]
@@ -248,9 +253,11 @@ def _value_fits(name: str, value: str) -> bool:
 
 
 def _texts(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``tab, id, owner, doc, content`` of both tables; ``doc`` is equal for repeated rows only."""
     a = chunks.select(F.lit("chunk_doc").alias("tab"), "id", F.coalesce("repo", F.lit("")).alias("owner"), "content")
     b = vectors.select(F.lit("vector_doc").alias("tab"), "id", F.coalesce(F.get_json_object("metadata", "$.codebasePath"), F.lit("")).alias("owner"), "content")
-    return a.unionByName(b).where("id is not null and content is not null")
+    both = a.unionByName(b).where("id is not null and content is not null")
+    return both.select("tab", "id", "owner", F.xxhash64("tab", "id", "content").alias("doc"), "content")
 
 
 def _place(text: str, start: int) -> int:
@@ -258,44 +265,65 @@ def _place(text: str, start: int) -> int:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """All literals of ``texts(tab, id, owner, content)`` that stand where a secret would, with their places."""
+    """All literals of ``texts`` that stand where a secret would, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for tab, i, owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(tab, i, owner, _place(text, a), a, b, v, r) for a, b, v, r in find(text)]
+            for tab, i, owner, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(tab, i, owner, doc, _place(text, a), a, b, v, r) for a, b, v, r in find(text)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["tab", "id", "owner", "line_no", "start", "stop", "value", "rule"])
+                yield _batch(out)
 
     low = F.lower("content")  # substring tests in the JVM are far cheaper than one large pattern
     some = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in [*_PARTS, *_FORMATS, "private key"]))
     some = reduce(lambda a, b: a | b, (F.contains("content", F.lit(c)) for c in _FOLDED), some)
-    return texts.where(some).select("tab", "id", "owner", "content").mapInArrow(run, ROWS)
+    return texts.where(some).select("tab", "id", "owner", "doc", "content").mapInArrow(run, ROWS)
 
 
-def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8, automaton_values: int = 500_000) -> DataFrame:
-    """``tab, id, owner, line_no, start, stop, value, rule``: each place of a confirmed secret, once per distinct row.
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.string()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
-    A value that more than ``owners_at_most`` repositories hold is a shared
-    placeholder. Confirmed values are put into automata of at most
-    ``automaton_values`` values each, so what a task holds is bounded; every
-    text is scanned with every automaton. Null contents give no rows.
+
+def _runs(text: Column) -> Column:
+    """The runs of letters and digits of a text."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def index(texts: DataFrame) -> DataFrame:
+    """``doc, run``: a hash of every run of letters and digits of every text, once per text."""
+    return texts.select("doc", F.explode(F.array_distinct(_runs(F.col("content")))).alias("run")).select("doc", F.xxhash64("run").alias("run"))
+
+
+def holders(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """``doc, value`` where the longest run of ``value`` is one of the text's; nothing else of the text is compared yet.
+
+    The join is on the run. Spark broadcasts the values where they are small and
+    splits the partition of a frequent run where they are not.
+    """
+    longest = F.array_max(F.transform(_runs(F.col("value")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return index(texts).join(values.select("value", F.xxhash64(longest).alias("run")), "run").select("doc", "value").distinct()
+
+
+def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8) -> DataFrame:
+    """``tab, id, owner, doc, line_no, start, stop, value, rule``: each place of a confirmed secret, once per distinct row.
+
+    A value that more than ``owners_at_most`` repositories hold, in whatever
+    context, is a shared placeholder. Null contents give no rows.
     """
     stage = Stage(chunks.sparkSession, "secrets")
     texts = _texts(chunks, vectors)
     first = stage.save(candidates(texts))
-    shared = first.where("rule != 'pem'").groupBy("value").agg(F.countDistinct("owner").alias("owners")).where(F.col("owners") > owners_at_most)
-    kept = first.join(shared, "value", "left_anti")
-    confirmed = kept.where("rule != 'pem'").select("value").distinct()
-    blocks = -(-confirmed.count() // automaton_values)
-    every = kept.select("tab", "id", "owner", "line_no", "start", "stop", "value", "rule")
-    for k in range(blocks):
-        part = confirmed if blocks == 1 else confirmed.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k)
-        words = [r[0] for r in part.collect()]  # at most about automaton_values
-        every = every.unionByName(texts.select("tab", "id", "owner", "content").mapInArrow(_scanner(words), ROWS))
-    merged = every.groupBy("tab", "id", "line_no", "start").agg(F.max_by(F.struct("owner", "stop", "value", "rule"), F.struct("stop", "rule")).alias("x"))
-    return merged.select("tab", "id", "x.owner", "line_no", "start", "x.stop", "x.value", "x.rule")
+    values = stage.save(first.where("rule != 'pem'").select("value").distinct())
+    wanted = holders(texts, values)
+    held = texts.join(wanted, "doc").where(F.contains("content", F.col("value")))
+    again = stage.save(held.select("tab", "id", "owner", "doc", "content", "value").mapInArrow(_scan, ROWS))
+    every = first.unionByName(again)
+    shared = every.where("rule != 'pem'").groupBy("value").agg(F.countDistinct("owner").alias("owners")).where(F.col("owners") > owners_at_most)
+    kept = every.join(shared, "value", "left_anti")
+    merged = kept.groupBy("tab", "id", "doc", "line_no", "start").agg(F.max_by(F.struct("owner", "stop", "value", "rule"), F.struct("stop", "rule")).alias("x"))
+    return merged.select("tab", "id", "x.owner", "doc", "line_no", "start", "x.stop", "x.value", "x.rule")
 
 
 def _stands_alone(text: str, a: int, b: int, value: str) -> bool:
@@ -315,39 +343,54 @@ def _stands_alone(text: str, a: int, b: int, value: str) -> bool:
     return structured(value, True) and _password_like(value) and not part.match(before) and ends
 
 
-def _scanner(words: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton()
-        for w in words:
-            machine.add_word(w, w)
-        machine.make_automaton()
-        for batch in batches:
-            out = []
-            for tab, i, owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                last = 0
-                places = ((end + 1 - len(w), end + 1, w) for end, w in machine.iter(text))
-                for a, b, w in sorted((p for p in places if _stands_alone(text, *p)), key=lambda p: (p[0], -p[1])):
-                    if a >= last:
-                        out.append((tab, i, owner, _place(text, a), a, b, w, "again"))
-                        last = b
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["tab", "id", "owner", "line_no", "start", "stop", "value", "rule"])
-
-    return run
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the values that stand behind a text, by an automaton per text; rows of one text follow each other."""
+    text: tuple | None = None
+    words: list[str] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for *row, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if text != tuple(row):
+                out += _occurrences(text, words)
+                text, words = tuple(row), []
+            words.append(value)
+        if out:
+            yield _batch(out)
+    out = _occurrences(text, words)
+    if out:
+        yield _batch(out)
+
+
+def _occurrences(row: tuple | None, words: list[str]) -> list[tuple]:
+    if row is None:
+        return []
+    tab, i, owner, doc, text = row
+    machine = ahocorasick.Automaton()
+    for w in words:
+        machine.add_word(w, w)
+    machine.make_automaton()
+    out, last = [], 0
+    places = ((end + 1 - len(w), end + 1, w) for end, w in machine.iter(text))
+    for a, b, w in sorted((p for p in places if _stands_alone(text, *p)), key=lambda p: (p[0], -p[1])):
+        if a >= last:
+            out.append((tab, i, owner, doc, _place(text, a), a, b, w, "again"))
+            last = b
+    return out
 
 
-def redact(chunks: DataFrame, vectors: DataFrame, mark: str = "REDACTED") -> DataFrame:
-    """``tab, id, content``: every text that holds a secret, with each replaced by ``mark`` and all else intact.
+def redact(chunks: DataFrame, vectors: DataFrame, mark: str = "REDACTED", only_changed: bool = True) -> DataFrame:
+    """``tab, id, content``: the rows whose text holds a secret, or all, with each replaced by ``mark`` and all else intact.
 
     Quotes, separators and line ends around a value stay; a value over several
     literals or lines is replaced piece by piece, so the code keeps its shape.
+    Repeated rows stay repeated; rows without id or content are left out.
     """
-    places = detect(chunks, vectors).groupBy("tab", "id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    texts = _texts(chunks, vectors).select("tab", "id", "content").distinct().join(places, ["tab", "id"])
+    places = detect(chunks, vectors).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    texts = _texts(chunks, vectors).join(places, "doc", "inner" if only_changed else "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [blank(t, [(s["start"], s["stop"]) for s in spans], mark) for t, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out = [blank(t, [(s["start"], s["stop"]) for s in spans], mark) if spans else t for t, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["tab", "id", "content"])
 
     return texts.select("tab", "id", "content", "spans").mapInArrow(run, "tab string, id string, content string")

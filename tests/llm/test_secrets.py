@@ -88,13 +88,36 @@ def test_placeholders_of_many_owners_are_suppressed_and_known_values_found_again
         ("long", "r", "x = 1\n" * 50_000 + 'password = "other9Value?z"'),
     ]
     c, v = chunks(spark, rows), vectors(spark, [("a", "see hubImage53X!q", '{"codebasePath": "repo1"}'), ("z", "none", "cut {"), ("y", None, None)])
-    got = {(r["tab"], r["id"], r["line_no"], r["value"]) for r in S.detect(c, v, owners_at_most=8, automaton_values=1).collect()}
+    got = {(r["tab"], r["id"], r["line_no"], r["value"]) for r in S.detect(c, v, owners_at_most=8).collect()}
     assert got == {("chunk_doc", "a", 2, "hubImage53X!q"), ("chunk_doc", "b", 1, "hubImage53X!q"), ("vector_doc", "a", 1, "hubImage53X!q"), ("chunk_doc", "long", 50_001, "other9Value?z")}
     red = {(r["tab"], r["id"]): r["content"] for r in S.redact(c, v).collect()}
     assert red[("chunk_doc", "a")] == 'line\npassword = "REDACTED"\n' and red[("vector_doc", "a")] == "see REDACTED"
     assert all("hubImage53X" not in t for t in red.values()) and len(red) == 4
 
 
+def test_owners_are_counted_wherever_a_value_stands(spark):
+    rows = [("a", "repo", 'password = "welcomeTeam2!"'), ("k", "repo", 'password = "keptValue77?"')]
+    rows += [(f"x{i}", f"repo{i}", "say 'welcomeTeam2!' to all") for i in range(9)] + [("y", "repo1", "keptValue77? again"), ("w", "repo2", "xkeptValue77? is part of a word")]
+    got = {(r["id"], r["value"]) for r in S.detect(chunks(spark, rows), vectors(spark, [])).collect()}
+    assert got == {("k", "keptValue77?"), ("y", "keptValue77?")}
+
+
+def test_all_texts_with_secrets_redacted(spark):
+    rows = [("a", "repo", 'password = "keptValue77?"'), ("b", "repo", "plain"), ("b", "repo", "plain"), ("c", "repo", "")]
+    got = sorted((r["id"], r["content"]) for r in S.redact(chunks(spark, rows), vectors(spark, []), only_changed=False).collect())
+    assert got == [("a", 'password = "REDACTED"'), ("b", "plain"), ("b", "plain"), ("c", "")]
+
+
+@pytest.mark.parametrize("line", ["the staging password is `Ab3!kettle99`, do not share it", "Our token was Zk83hs92kdHs71 until May", 'ask for the passphrase "tr33-house!9" at the desk', 'passwort = "Geheim!2345x"'])
+def test_sentences_that_name_a_secret(line):
+    assert len(S.find(line)) == 1
+
+
+@pytest.mark.parametrize("line", ["the key is `user_id`", "the token file is `src/token2.py`", "password rules are in `docs/v2.md`", "the key path is `a/b-2c`", "see `config2` for the token"])
+def test_sentences_that_call_something_else(line):
+    assert S.find(line) == []
+
+
 def test_empty(spark):
     assert S.detect(chunks(spark, []), vectors(spark, [])).collect() == []
 
@@ -104,11 +127,11 @@ MATCHED = [
     (S._ASSIGN, "$pass = 'Xk29!fooBar'"),
     (S._ASSIGN, '(pass = "Xk29!fooBar")'),
     (S._ASSIGN, '\u017fmtp_pa\u017f\u017f = "Xk29!fooBar"'),
-    (S._PROSE, "Key was Xk29!fooBar"),
+    (S._WORD, "Key was Xk29!fooBar"),
     (S._OPTION, "host?user=a&signature=Xk29!fooBar"),
     (S._HEADER, "Basic\tdXNlcjpwYTU1d29yZCE="),
     (S._URL, "amqp://u:Xk29!fooBar@host"),
-    (S._USE, "`Xk29!fooBar` as the key"),
+    (S._WORD, "`Xk29!fooBar` as the key"),
     (S._CALL, 'logIn("Xk29!fooBar")'),
     (S._CALL, 'sign_in("Xk29!fooBar")'),
     (S._CALL, 'log_in("Xk29!fooBar")'),
