@@ -9,8 +9,11 @@ every register of its text. Texts with equal word counts form one class and are
 signed once. Classes that share a band are compared exactly.
 
 Skew: copies collapse into classes before anything is shuffled by band; bands
-with one class are dropped; a band with very many classes is split into blocks
-whose block pairs are spread over tasks, so no group is held by one task.
+with one class are dropped. The classes of a band with very many (shared
+boilerplate) are not all paired: those of them that can reach the threshold share
+one of their rarest elements, and only classes that do are compared, which loses no
+pair. A group that is still large is split into blocks whose block pairs are
+spread over tasks, so no group is held by one task.
 """
 
 from __future__ import annotations
@@ -193,9 +196,21 @@ def _together(sized: DataFrame, block: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def _candidates(sized: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs of classes that share a band."""
-    return _together(sized, block).distinct()
+def _by_rare_elements(first: DataFrame, hot: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs of the ``hot(cls)`` classes of ``first(cls, total, elems)`` that can reach the threshold, and few others.
+
+    Elements are ordered by how many hot classes hold them. Two texts of a
+    similarity of at least ``threshold`` share one of the first
+    ``total - ceil(threshold * total) + 1`` elements of each.
+    """
+    elems = first.join(hot, "cls", "left_semi").select("cls", "total", F.explode("elems").alias("elem"))
+    held = elems.groupBy("elem").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = Window.partitionBy("cls").orderBy("n", "elem")  # one text's elements
+    rank = F.row_number().over(order) + F.col("total") - F.col("there")  # elements that no other class holds come first
+    there = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    ranked = elems.join(held, "elem").withColumn("there", there).withColumn("rank", rank)
+    least = F.col("total") - F.ceil(F.lit(threshold) * F.col("total") - 1e-9) + 1
+    return _together(ranked.where(F.col("rank") <= least).select(F.col("elem").alias("band"), "cls", "n"), block)
 
 
 def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.7, min_words: int = 30, bands: int = 40, rows: int = 5, block: int = 512) -> tuple[DataFrame, DataFrame]:
@@ -211,16 +226,23 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     stage = Stage(texts.sparkSession, "neardup")
     profiles = stage.save(profile(texts, text_id, text, min_words, bands, rows))
     members = profiles.groupBy("id", "cls").agg(F.min("copy").alias("copy"))
-    heads = stage.save(profiles.groupBy("cls").agg(F.min("id").alias("id")))
-    first = profiles.join(heads, ["cls", "id"], "left_semi")
+    copies = stage.save(profiles.select("cls", "id").join(profiles.groupBy("cls").agg(F.min("id").alias("head")), "cls").where("id != head").select("cls", "id").distinct())
+    first = profiles.join(copies, ["cls", "id"], "left_anti")
     # Bands are shuffled with a 64-bit key of the class; should two classes share one, both are compared exactly below.
     key = F.xxhash64("cls")
     banded = first.select(key.alias("cls"), F.explode("bands").alias("band"))
-    sized = stage.save(banded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1"))
-    pairs = _candidates(sized, block).withColumnsRenamed({"cls_1": "key_1", "cls_2": "key_2"})
+    # Sizes by partial aggregation: no task ever holds a hot band whole.
+    shared = stage.save(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sized = stage.save(banded.join(shared, "band"))
+    hot = sized.where(F.col("n") > block).select("cls").distinct()
+    keyed = first.select(key.alias("cls"), "total", "elems")
+    pairs = _together(sized.where(F.col("n") <= block), block).unionByName(_by_rare_elements(keyed, stage.save(hot), threshold, block))
+    pairs = pairs.distinct().withColumnsRenamed({"cls_1": "key_1", "cls_2": "key_2"})
     one = first.select(key.alias("key_1"), F.col("cls").alias("cls_1"), F.col("total").alias("t1"), F.col("sketch").alias("s1"))
     two = first.select(key.alias("key_2"), F.col("cls").alias("cls_2"), F.col("total").alias("t2"), F.col("sketch").alias("s2"))
     likely = stage.save(_estimate(pairs.join(one, "key_1").join(two, "key_2"), threshold))
+    named = stage.save(likely.select(F.explode(F.array("cls_1", "cls_2")).alias("cls")).distinct())
+    first = first.join(named, "cls", "left_semi")
     elems_1 = first.select(F.col("cls").alias("cls_1"), F.col("elems").alias("elems_1"))
     elems_2 = first.select(F.col("cls").alias("cls_2"), F.col("elems").alias("elems_2"))
     links = _verify(likely.join(elems_1, "cls_1").join(elems_2, "cls_2"), threshold)

@@ -76,3 +76,19 @@ def test_reordered_versions_in_a_large_class_give_every_pair(spark):
     assert {(r[0], r[1]) for r in N.similar_pairs(members, links, star_above=None, block=16).collect()} == want
     stars = {(r[0], r[1]) for r in N.similar_pairs(members, links).collect()}
     assert stars == {(a, b) for a, b in want if not b.startswith("s")} | {("r000", f"s{i:03}") for i in range(70)}
+
+
+def test_hot_bands_compare_by_rare_elements_and_lose_no_pair(spark):
+    """Half of each text is boilerplate that fills the bands; every similar pair is still found."""
+    rng = random.Random(8)
+    common = [f"shared{i}" for i in range(30)]
+    texts = {}
+    for i in range(60):
+        own = [f"own{i}_{j}" for j in range(rng.randrange(6, 24))]
+        for v in range(2):
+            texts[f"t{i:02}_{v}"] = " ".join([*common, *own, *(["tail"] * v)])
+    df = spark.createDataFrame([*texts.items()], "id string, content string")
+    ids = sorted(texts)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if similarity(texts[a], texts[b]) >= 0.7}
+    got = {(r[0], r[1]) for r in N.similar_pairs(*N.similar_classes(df, "id", "content", bands=60, rows=3, block=3)).collect()}
+    assert got == want and 60 < len(want) < 2000
