@@ -21,11 +21,12 @@ def source_key(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
-def plan(sized: DataFrame, targets: DataFrame, tilt: float = 0.5) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, tilt: float = 0.5, total: int | None = None) -> DataFrame:
     """One row per target source: supply, effective share, budget and tilt.
 
-    ``sized(doc_id, source, n_tokens)``. The budget is the largest total for which
-    every source meets its share within its repeats. A target without any tokens
+    ``sized(doc_id, source, n_tokens)``. The budget is ``total`` tokens, or else the
+    largest total for which every source meets its share within its repeats. A source
+    that cannot meet its share of ``total`` gives all it may; ``shares`` reports it. A target without any tokens
     cannot be met; its share is spread over the others in proportion. Targets
     with null source or a share that is null or not positive are left out.
     """
@@ -41,21 +42,23 @@ def plan(sized: DataFrame, targets: DataFrame, tilt: float = 0.5) -> DataFrame:
     off = F.log("mean_tokens") - centre
     widest = F.max(F.abs(off)).over(every)
     tilted = shared.withColumn("off", off).withColumn("tilt", F.coalesce(F.lit(tilt) * off / F.when(widest > 0, widest), F.lit(0.0)))
-    budget = F.min(F.col("supply") * F.col("max_repeat") / F.col("share")).over(every)
-    return tilted.withColumn("budget", budget).select("source", "target_share", "max_repeat", "supply", "share", "tilt", "budget", (F.col("share") * budget).alias("demand"))
+    most = F.col("supply") * F.col("max_repeat")
+    budget = F.min(most / F.col("share")).over(every) if total is None else F.lit(float(total))
+    return tilted.withColumn("budget", budget).select("source", "target_share", "max_repeat", "supply", "share", "tilt", "budget", F.least(F.col("share") * budget, most.cast("double")).alias("demand"))
 
 
-def mix(sized: DataFrame, plan_: DataFrame, buckets: int = 4096) -> DataFrame:
+def mix(sized: DataFrame, plan_: DataFrame, bucket_rows: int = 10_000) -> DataFrame:
     """``doc_id, source, copy, n_tokens, position``: what is taken, and at which training token.
 
     ``plan_`` comes from ``plan``. Texts of a source are taken in a hash order, again
     from its start once it is used up, until the demand is met to within half a
-    text. Prefix sums are taken over ``buckets`` bounded groups a source, so a
-    source with most of the rows is not held by one task. Texts without tokens
+    text. Prefix sums are taken over groups by hash of some ``bucket_rows`` texts of a source
+    at most, so a source with most of the rows is not held by one task. Texts without tokens
     or of no target source are not taken.
     """
     stage = Stage(sized.sparkSession, "mixing")
     texts = sized.where("doc_id is not null and source is not null and n_tokens > 0").withColumn("h", F.xxhash64("doc_id"))
+    buckets = max(64, texts.count() // bucket_rows)
     texts = texts.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sums = texts.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     start = sums.withColumn("start", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))

@@ -11,7 +11,7 @@ to the declared direction of its list. Items are sorted by their projection.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,11 @@ def rank_transform(hits: DataFrame, group: str, item: str, score: str, higher: b
     return ranked.withColumn("value", (F.col("low") + (ties - 1) / 2) / F.col("n")).select("group", "item", "value")
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Null where either does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def loadings(wide: DataFrame, columns: list[str], directions: list[int] | None = None) -> np.ndarray:
     """Loadings of the first principal component of ``columns``, turned to ``directions`` (+1 or -1).
 
@@ -41,7 +46,7 @@ def loadings(wide: DataFrame, columns: list[str], directions: list[int] | None =
     k = len(columns)
     want = np.array(directions or [1] * k, dtype=float)
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    row = wide.agg(F.count(F.lit(1)).alias("n"), *(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first() if pairs else None
+    row = wide.agg(F.count(F.lit(1)).alias("n"), *(_correlation(F.col(columns[i]), F.col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs)).first() if pairs else None
     matrix = np.eye(k)
     for i, j in pairs:
         c = row[f"c{i}_{j}"]
@@ -53,6 +58,15 @@ def loadings(wide: DataFrame, columns: list[str], directions: list[int] | None =
     return np.abs(first / np.linalg.norm(first)) * want
 
 
+def disagreeing(wide: DataFrame, columns: list[str], directions: list[int] | None = None) -> list[str]:
+    """Columns that run against the mean of all others (in the declared directions); ``loadings`` turns them all the same."""
+    if len(columns) < 2:
+        return []
+    signs = dict(zip(columns, directions or [1] * len(columns), strict=True))
+    row = wide.agg(*(_correlation(F.col(c) * signs[c], sum((F.col(o) * signs[o] for o in columns if o != c), F.lit(0.0))).alias(c) for c in columns)).first()
+    return [c for c in columns if row[c] is not None and row[c] < 0]
+
+
 def fuse(lists: list[DataFrame], directions: list[int] | None = None) -> DataFrame:
     """``group, item, projection`` from rank-transformed lists; an item absent from a list gets 0 from it.
 

@@ -111,12 +111,13 @@ def split(text: str, limit: int, overlap: int, path: str = tok.VOCABULARY) -> li
     included, has more than ``limit`` tokens when it is encoded by itself. A text
     within the limit is one piece; an empty one gives none.
     """
+    if not 0 <= overlap <= limit // 2:
+        raise ValueError(f"an overlap of {overlap} leaves too little of a limit of {limit}")
     if not text:
         return []
     t = _Text(path, text)
     if len(t.ids) <= limit:
         return [(0, 0, len(text), len(t.ids), "")]
-    overlap = max(0, min(overlap, limit // 2))
     todo = _pack(t, 0, len(text), 0, limit - overlap - 4)[::-1]
     out: list[tuple[int, int, int, int, str]] = []
     before: list[int] = []
@@ -145,6 +146,7 @@ def _tail(path: str, text: str, ids: list[int], n: int) -> str:
 
 def split_all(documents: DataFrame, limit: int, overlap: int, path: str = tok.VOCABULARY) -> DataFrame:
     """The pieces of all ``documents(doc_id, text)`` with their text; null ids and null or empty texts give none."""
+    tok.ship(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "body_start", "stop", "n_tokens", "cut", "text"]

@@ -41,3 +41,13 @@ def test_loadings_follow_declared_directions(spark):
 def test_empty(spark):
     e = frame(spark, [])
     assert R.fuse([R.rank_transform(e, "q", "i", "s")] * 2).collect() == []
+
+
+def test_a_list_that_runs_against_the_others_is_named(spark):
+    df = spark.createDataFrame([(float(i), float(i) * 2, float(-i)) for i in range(20)], "a double, b double, c double")
+    assert R.disagreeing(df, ["a", "b", "c"]) == ["c"] and R.disagreeing(df, ["a", "b", "c"], [1, 1, -1]) == []
+
+
+def test_a_list_without_variation_has_no_correlation(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(9)], "a double, b double")
+    assert np.allclose(np.abs(R.loadings(df, ["a", "b"])), 2**-0.5)

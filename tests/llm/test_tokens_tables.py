@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,7 +71,7 @@ def test_mixing_meets_shares_caps_repeats_and_follows_the_schedule(spark):
     df = spark.createDataFrame(rows, SIZED)
     targets = spark.createDataFrame([("Big ", 0.5, 1), ("mid", 0.3, 2), ("SMALL", 0.15, 4), ("gone", 0.05, 3), (None, 0.1, 1)], "source string, target_share double, max_repeat int")
     plan = M.plan(df, targets)
-    mixed = M.mix(df, plan, buckets=16)
+    mixed = M.mix(df, plan, bucket_rows=16)
     got = mixed.collect()
     assert [r["position"] for r in got] == sorted(r["position"] for r in got)
     assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
@@ -132,3 +133,16 @@ def test_tables(spark):
     assert {r["doc_id"] for r in got} == {1, 4} and S.split_all(df.limit(0), 128, 16).collect() == []
     n = {r["doc_id"]: r["n_tokens"] for r in T.counted(df, ["doc_id"], "text").collect()}
     assert n[2] == n[3] == 0 and n[4] == 1
+
+
+def test_an_overlap_over_half_the_limit_is_refused():
+    with pytest.raises(ValueError):
+        S.split("some text", 10, 6)
+
+
+def test_a_total_that_a_source_cannot_meet_is_reported(spark):
+    sized = spark.createDataFrame([(i, "a" if i < 10 else "b", 10) for i in range(110)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeat int")
+    plan = M.plan(sized, targets, total=1000)
+    got = {r["source"]: r for r in M.shares(M.mix(sized, plan), plan).collect()}
+    assert got["a"]["tokens"] == 200 and got["a"]["most_copies"] == 2 and got["b"]["tokens"] == 500

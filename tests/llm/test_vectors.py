@@ -33,7 +33,7 @@ def test_factor_one_is_exact_and_the_default_nearly(spark):
     ids = [f"v{i:05}" for i in range(len(x))]
     rows = [(i, v.tolist(), "c") for i, v in zip(ids, x)]
     want = {k: set(v) for k, v in brute(ids, x).items() if v}
-    assert run(spark, rows, slack=1.0, part_rows=300) == want
+    assert run(spark, rows, slack=1.0, shard_rows=100, query_rows=300) == want
     got = run(spark, rows)
     hit = sum(len(got.get(k, set()) & v) for k, v in want.items())
     assert hit / sum(map(len, want.values())) >= 0.95
