@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    found = hierarchy.describe(hierarchy.resolve_forest(_links(spark, d), with_path=True))
+    found = hierarchy.describe(hierarchy.resolve_forest(_links(spark, d), with_path=True, with_size=True))
     return found.select(F.col("scope").alias("repo"), F.col("node").alias("symbol_id"), F.col("root").alias("root_symbol_id"), "depth", "path", "n_descendants")
 
 

@@ -12,6 +12,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; one is made only where none is set."""
+    """The shared folder for intermediate tables; one is made only where none is set and all runs on one machine."""
     there = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_KEY} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="skein-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set(_KEY, f"file://{made}")
@@ -34,25 +37,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stage:
-    """Written tables of one run of an operator; ``drop`` frees those that are superseded."""
+    """Written tables of one run of an operator.
+
+    ``drop`` frees those that are superseded; what is left can be freed by
+    ``release`` once the results have been read.
+    """
+
+    made: ClassVar[list[tuple[SparkSession, str]]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Stage.made.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        saved._skein_path = path  # noqa: SLF001 - lives as long as the table
+        return saved
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            for f in t.inputFiles()[:1]:
-                self._delete(f.rsplit("/", 1)[0])
+            _delete(self.spark, t._skein_path)  # noqa: SLF001
+
+
+def release() -> None:
+    """Delete the intermediate tables of all runs so far; results that are still to be read need theirs."""
+    while Stage.made:
+        spark, root = Stage.made.pop()
+        _delete(spark, root)
+
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -26,7 +26,13 @@ def solve(rows):
 def check(spark, rows):
     links = spark.createDataFrame(rows, "scope string, node string, parent string")
     got = {(r["scope"], r["node"]): (r["root"], r["depth"], list(r["path"])) for r in H.resolve_forest(links, with_path=True).collect()}
-    assert got == solve(rows)
+    want = solve(rows)
+    assert got == want
+    below = {k: 0 for k in want}
+    for (scope, _), (_, _, path) in want.items():
+        for node in path:
+            below[scope, node] += 1
+    assert {(r["scope"], r["node"]): (r["root"], r["depth"], r["size"]) for r in H.resolve_forest(links, with_size=True).collect()} == {k: (*want[k][:2], below[k]) for k in want}
 
 
 def test_forest_with_deep_chain_star_circles_and_two_scopes(spark):
@@ -57,6 +63,6 @@ def test_latest_row_counts_and_nulls_are_no_nodes(spark):
 
 def test_descendants_and_counts(spark):
     links = spark.createDataFrame([("r", "a", None), ("r", "b", "a"), ("r", "c", "b"), ("r", "z", "z")], "scope string, node string, parent string")
-    paths = H.resolve_forest(links, with_path=True)
+    paths = H.resolve_forest(links, with_path=True, with_size=True)
     assert {(r["ancestor"], r["descendant"], r["distance"]) for r in H.descendants(paths).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
     assert {(r["node"], r["path"], r["n_descendants"]) for r in H.describe(paths).collect()} == {("a", "a", 2), ("b", "a/b", 1), ("c", "a/b/c", 0), ("z", "", 0)}
