@@ -115,7 +115,27 @@ def lines(text: Column) -> Column:
 
 
 def line_slice(text: Column, first: int, last: int) -> Column:
-    return F.array_join(F.slice(lines(text), first, last - first + 1), "\n")
+    """Lines ``first`` to ``last`` with their line ends; the text's last line has one only if the text does."""
+    parts = lines(text)
+    cut = F.slice(parts, first, last - first + 1)
+    ended = (F.size(parts) > last) | text.endswith("\n")
+    return F.concat(F.array_join(cut, "\n"), F.when((F.size(cut) > 0) & ended, "\n").otherwise(""))
+
+
+#: Fixed value: the characters that are blank in Unicode.
+BLANKS = r"[\x{09}-\x{0D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def trimmed(text: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
+def json_string(json: Column, key: str) -> Column:
+    """A field of a JSON text as a string; null for nulls, arrays, objects and texts that are no JSON."""
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    kind = F.schema_of_variant(value)
+    return F.when(~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID")), F.get_json_object(json, f"$.{key}"))
 
 
 @pandas_udf(StringType())

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +26,11 @@ def changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, KEY, "full_outer").select(*KEY, change.alias("change"))
 
 
-def change_counts(changed: DataFrame, by: list[str]) -> DataFrame:
+def change_counts(changed: DataFrame, by: list[str], indexed: DataFrame | None = None) -> DataFrame:
+    """Counts by kind; of added and modified files only those count that were really indexed, if these are given."""
+    if indexed is not None:
+        done = indexed.select(*KEY).distinct().withColumn("done", F.lit(True))
+        changed = changed.join(done, KEY, "left").where(F.col("done") | ~F.col("change").isin("added", "modified"))
     return changed.groupBy(*by).agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "removed", "unchanged")))
 
 
@@ -52,6 +61,39 @@ def merged(canonical: DataFrame, overlay_hits: DataFrame, overlay: DataFrame) ->
     return suppressed(canonical, overlay).unionByName(overlay_hits)
 
 
+def merged_top(canonical: DataFrame, overlay_hits: DataFrame, overlay: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of the merged hits of every repository, by score, path and id, with their 0-based rank."""
+    w = Window.partitionBy("repo").orderBy(F.desc("score"), "relative_path", "id")
+    return merged(canonical, overlay_hits, overlay).withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k)
+
+
+def candidate_files(canonical: DataFrame, overlay_files: DataFrame, overlay: DataFrame) -> DataFrame:
+    """``repo, relative_path``, each once: canonical files that no overlay hides, and the overlay's own."""
+    return suppressed(canonical.select(*KEY), overlay).unionByName(overlay_files.select(*KEY)).distinct()
+
+
+def overlay_first(overlay_rows: DataFrame, canonical: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the overlay's where it has one, else the canonical one."""
+    return overlay_rows.unionByName(canonical.join(overlay_rows.select(*key).distinct(), key, "left_anti"))
+
+
+def hidden_files(overlay_states: DataFrame) -> DataFrame:
+    """``repo, relative_path`` that overlays replace or delete; ``overlay_states(repo, replaced_paths, deleted_paths)``."""
+    paths = F.array_union(F.coalesce("replaced_paths", F.array().cast("array<string>")), F.coalesce("deleted_paths", F.array().cast("array<string>")))
+    return overlay_states.select("repo", F.explode(paths).alias("relative_path")).distinct()
+
+
+def file_metadata(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``repo, relative_path, indexed_at, file_hash``: of a file's first chunk, else of its first symbol."""
+
+    def first(rows: DataFrame, tie: str) -> DataFrame:
+        best = F.min_by(F.struct("indexed_at", "file_hash"), F.struct("start_line", "end_line", tie))
+        return rows.where("repo is not null and relative_path is not null").groupBy(*KEY).agg(best.alias("m"))
+
+    both = first(chunks, "id").join(first(symbols, "symbol_id").withColumnRenamed("m", "s"), KEY, "full_outer")
+    return both.select(*KEY, F.coalesce("m.indexed_at", "s.indexed_at").alias("indexed_at"), F.coalesce("m.file_hash", "s.file_hash").alias("file_hash"))
+
+
 def coverage(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo").agg(F.countDistinct("relative_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
 
@@ -80,16 +122,31 @@ def stale(hits: DataFrame, now: DataFrame) -> DataFrame:
     return hits.join(current, KEY, "left").withColumn("stale", F.col("now").isNull() | ~F.col("now").eqNullSafe(F.coalesce("file_hash", F.lit("")))).drop("now")
 
 
-def root_hashes(files: DataFrame) -> DataFrame:
-    """``repo, root_hash``: hash over ``path:hash`` lines in path order. Built in two levels.
+def root_hashes(files: DataFrame, algorithm: str = "xxh3") -> DataFrame:
+    """``repo, root_hash``: one hash over the lines ``path:hash`` of a repository's files, each with its line end, in path order.
 
-    Files are hashed in groups by a prefix of their path's hash, and the groups' hashes
-    again, so a repository with very many files is not held in one row.
+    Files stream through one task per repository in order, so no repository is held
+    in memory. ``algorithm`` is ``xxh3`` (128 bits) or ``md5``. Repeated files count once.
     """
-    part = F.left(F.md5("relative_path"), F.lit(2))
-    line = F.concat_ws(":", "relative_path", F.coalesce("file_hash", F.lit("")))
-    groups = files.groupBy("repo", part.alias("part")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("h"))
-    return groups.groupBy("repo").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "h"))), "\n")).alias("root_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo: str | None = None
+        done: list[tuple[str, str]] = []
+        begun, digest = False, None
+        for batch in batches:
+            for r, path, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or r != repo:
+                    if begun:
+                        done.append((repo, digest.hexdigest()))
+                    begun, repo, digest = True, r, xxhash.xxh3_128() if algorithm == "xxh3" else hashlib.md5()
+                digest.update(f"{path}:{h}\n".encode())
+        if begun:
+            done.append((repo, digest.hexdigest()))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], names=["repo", "root_hash"])
+
+    rows = files.where("relative_path is not null").select("repo", "relative_path", F.coalesce("file_hash", F.lit("")).alias("file_hash")).distinct()
+    return rows.repartition("repo").sortWithinPartitions("repo", "relative_path", "file_hash").mapInArrow(run, "repo string, root_hash string")
 
 
 def within_budget(files: DataFrame, limit: int = CHUNK_BUDGET) -> DataFrame:

@@ -38,13 +38,7 @@ def prefix_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classify_queries(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "search_query").select("query_id", "query")
-    docs = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("query_id"), F.element_at(F.split("text", "\n"), 1).alias("query"))
-    return q.unionByName(docs).where("not query rlike '[^ -~]'").select("query_id", planner.classify(F.col("query")).alias("kind"))
-
-
-def classify_queries_all(spark: SparkSession, d: str) -> DataFrame:
-    """The kinds of all queries, and of whole documents taken as queries; the SQL of ``classify_queries`` knows printable ASCII and first lines only."""
+    """The kinds of all queries, and of whole documents taken as queries."""
     q = table(spark, d, "search_query").select("query_id", "query")
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("query_id"), F.col("text").alias("query"))
     return q.unionByName(docs).select("query_id", planner.classify(F.col("query")).alias("kind"))
@@ -59,9 +53,8 @@ def plan_weights_in_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_metadata(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "vector_doc").dropDuplicates(["id"])
-    ok = F.try_parse_json("metadata").isNotNull()
-    field = {n: F.when(ok, F.get_json_object("metadata", f"$.{n}")) for n in ("codebasePath", "language", "basename", "chunkIndex")}
+    rows = table(spark, d, "vector_doc").select("id", "metadata").distinct()
+    field = {n: T.json_string(F.col("metadata"), n) for n in ("codebasePath", "language", "basename", "chunkIndex")}
     return rows.select("id", field["codebasePath"].alias("repo"), field["language"].alias("language"), field["basename"].alias("basename"), F.coalesce(field["chunkIndex"].try_cast("long"), F.lit(-1)).cast("long").alias("chunk_index"))
 
 
@@ -70,18 +63,10 @@ def rounded_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "id", T.rounded(T.positive(F.col("score"))).alias("score"))
 
 
-def _snippets(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.md5(T.snippet(F.lit("return broker"), F.col("content"), 220)).alias("snippet_md5"))
-
-
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """A snippet around a fixed query, of every chunk that its SQL compares."""
-    return _snippets(table(spark, d, "chunk_doc").dropDuplicates(["id"]).where("content rlike '^[\\\\x00-\\\\x7F]*$'"))
-
-
-def snippets_all(spark: SparkSession, d: str) -> DataFrame:
-    """A snippet of every chunk around a fixed query."""
-    return _snippets(table(spark, d, "chunk_doc").dropDuplicates(["id"]))
+    """A snippet of every chunk; of repeated rows each distinct one gives a row."""
+    rows = table(spark, d, "chunk_doc").where("id is not null")
+    return rows.select("id", F.md5(T.snippet(F.lit("return broker"), F.col("content"), 220)).alias("snippet_md5")).distinct()
 
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +94,8 @@ _LANG = "CASE " + " ".join(f"WHEN extension = '{k}' THEN '{v}'" for k, v in T.LA
 _STOPS = ", ".join(f"'{w}'" for w in planner.STOP_WORDS)
 KIND = f"""
 signals AS (
-  SELECT *, trim(coalesce(query, ''), E' \\t\\r\\n') AS q,
-         list_filter(string_split_regex(trim(coalesce(query, ''), E' \\t\\r\\n'), '\\s+'), lambda w: w <> '') AS words FROM asked),
+  SELECT *, regexp_replace(coalesce(query, ''), '^{T.BLANKS}+|{T.BLANKS}+$', '', 'g') AS q,
+         list_filter(string_split_regex(coalesce(query, ''), '{T.BLANKS}+'), lambda w: w <> '') AS words FROM asked),
 measured AS (
   SELECT *, len(words) AS n, len(list_filter(words, lambda w: lower(w) IN ({_STOPS}))) AS stops,
          list_extract(string_split(q, '/'), -1) AS last FROM signals),
@@ -143,19 +128,23 @@ SELECT query_id, kind, mode, CAST(round({dense}, 6) AS DOUBLE) AS dense_weight,
   CAST(CASE WHEN mode IN ('semantic', 'hybrid') THEN 2 ELSE 1 END AS BIGINT) AS neighbours FROM moded"""
 
 
-QUERIES = {f.__name__: f for f in (identifier_terms, path_terms, path_parts, prefix_filters, classify_queries, classify_queries_all, plan_weights, plan_weights_in_file, json_metadata, rounded_scores, snippets, snippets_all, previews, chunk_ids)}
+def _json(key: str) -> str:
+    return f"CASE WHEN json_type(m, '$.{key}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string(m, '$.{key}') END"
+
+
+QUERIES = {f.__name__: f for f in (identifier_terms, path_terms, path_parts, prefix_filters, classify_queries, plan_weights, plan_weights_in_file, json_metadata, rounded_scores, snippets, previews, chunk_ids)}
 SQL = {
     "identifier_terms": f"SELECT repo, symbol_id, name, array_to_string({terms_sql('coalesce(name, $$$$)')}, ' ') AS terms FROM (SELECT DISTINCT repo, symbol_id, name FROM symbol_row)",
     "path_terms": f"SELECT relative_path, array_to_string({terms_sql('relative_path')}, ' ') AS terms FROM (SELECT DISTINCT relative_path FROM chunk_doc)",
     "path_parts": f"WITH p AS (SELECT DISTINCT relative_path FROM file_state), e AS (SELECT relative_path, {NORMAL.format('relative_path')} AS path, {_BASE} AS basename, {_EXT} AS extension FROM p) SELECT *, {_LANG} AS language FROM e",
     "prefix_filters": "SELECT repo, count(*) FILTER (starts_with(relative_path, 'src')) AS plain, count(*) FILTER (relative_path = 'src' OR starts_with(relative_path, 'src/')) AS by_segment FROM (SELECT DISTINCT repo, relative_path FROM file_state) GROUP BY repo",
-    "classify_queries": f"WITH every AS (SELECT query_id, query FROM search_query UNION ALL SELECT 'd' || doc_id, string_split(text, chr(10))[1] FROM documents WHERE text IS NOT NULL), asked AS (SELECT * FROM every WHERE NOT regexp_matches(query, '[^ -~]')), {KIND} SELECT query_id, kind FROM kinds",
+    "classify_queries": f"WITH asked AS (SELECT query_id, query FROM search_query UNION ALL SELECT 'd' || doc_id, text FROM documents), {KIND} SELECT query_id, kind FROM kinds",
     "plan_weights": _plan_sql(False),
     "plan_weights_in_file": _plan_sql(True),
-    "json_metadata": """WITH r AS (SELECT DISTINCT id, metadata FROM vector_doc), j AS (SELECT id, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM r)
-SELECT id, json_extract_string(m, '$.codebasePath') AS repo, json_extract_string(m, '$.language') AS language, json_extract_string(m, '$.basename') AS basename, coalesce(try_cast(json_extract_string(m, '$.chunkIndex') AS BIGINT), -1) AS chunk_index FROM j""",
+    "json_metadata": f"""WITH r AS (SELECT DISTINCT id, metadata FROM vector_doc), j AS (SELECT id, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM r)
+SELECT id, {_json("codebasePath")} AS repo, {_json("language")} AS language, {_json("basename")} AS basename, coalesce(try_cast({_json("chunkIndex")} AS BIGINT), -1) AS chunk_index FROM j""",
     "rounded_scores": "SELECT query_id, id, CASE WHEN score > 0 THEN round(score, 6) END AS score FROM (SELECT DISTINCT query_id, id, score FROM search_document)",
-    "snippets": r"""WITH c AS (SELECT DISTINCT id, content, lower(content) AS low FROM chunk_doc WHERE regexp_full_match(content, '[\x00-\x7F]*')),
+    "snippets": r"""WITH c AS (SELECT DISTINCT id, content, lower(replace(content, 'İ', 'i')) AS low FROM chunk_doc),
 f AS (SELECT *, CASE WHEN instr(low, 'return') > 0 THEN instr(low, 'return') - 1 WHEN instr(low, 'broker') > 0 THEN instr(low, 'broker') - 1 END AS at_ FROM c),
 w AS (SELECT *, greatest(at_ - 73, 0) AS a, least(at_ + 146, length(content)) AS b FROM f)
 SELECT id, md5(CASE WHEN length(content) <= 220 THEN content

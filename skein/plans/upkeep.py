@@ -77,7 +77,7 @@ def stale_collections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def root_hash(spark: SparkSession, d: str) -> DataFrame:
-    return state.root_hashes(_present(spark, d))
+    return state.root_hashes(_present(spark, d), "md5")
 
 
 def chunk_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ SQL = {
 CASE WHEN bool_or(coalesce(status = 'indexing', false)) THEN 'indexing' WHEN bool_or(coalesce(status = 'indexfailed', false)) THEN 'indexfailed' WHEN bool_or(coalesce(status = 'indexed', false)) THEN 'indexed' ELSE 'not_indexed' END AS status FROM repo_state""",
     "stale_files": f"WITH {_C}, {_P} SELECT c.id, n.relative_path IS NULL OR coalesce(n.h1, '') <> coalesce(c.file_hash, '') AS stale FROM c LEFT JOIN now_ n ON c.repo = n.repo AND c.relative_path = n.relative_path",
     "stale_collections": "SELECT DISTINCT 'chunks_' || md5(repo) AS name FROM chunk_doc WHERE repo IS NOT NULL AND repo NOT IN (SELECT repo FROM repo_state WHERE status IN ('indexed', 'indexing'))",
-    "root_hash": f"WITH {_P}, g AS (SELECT repo, left(md5(relative_path), 2) AS part, md5(array_to_string(list_sort(list(relative_path || ':' || coalesce(h1, ''))), chr(10))) AS h FROM now_ GROUP BY ALL) SELECT repo, md5(array_to_string(list_sort(list(part || ':' || h)), chr(10))) AS root_hash FROM g GROUP BY repo",
+    "root_hash": f"WITH {_P} SELECT repo, md5(string_agg(relative_path || ':' || coalesce(h1, '') || chr(10), '' ORDER BY relative_path)) AS root_hash FROM now_ WHERE relative_path IS NOT NULL GROUP BY repo",
     "chunk_budget": """WITH f AS (SELECT repo, relative_path, count(DISTINCT id) AS chunks FROM chunk_doc GROUP BY ALL), r AS (SELECT *, sum(chunks) OVER (PARTITION BY repo ORDER BY relative_path) AS t FROM f)
 SELECT repo, relative_path, chunks FROM r WHERE t <= 60""",
     "upsert_chunks": f"WITH {_C} SELECT repo, relative_path, CASE WHEN ends_with(relative_path, '.py') THEN 'new_' || id ELSE id END AS id, start_line FROM c",
