@@ -35,13 +35,17 @@ def source(hits: DataFrame, name: str, weight: Column, group: list[str], k: int
     return ranked.select(*group, F.col(tie).alias("id"), F.lit(name).alias("source"), fused_score(weight, F.col("rank"), F.col("score"), most).alias("part"))
 
 
-def fuse(sources: list[DataFrame], group: list[str]) -> DataFrame:
-    """Sum of the parts per id: one shuffle for all sources; ``match_type`` names the source, or ``hybrid``."""
+def fuse(sources: list[DataFrame], group: list[str], by_source: list[str] | None = None) -> DataFrame:
+    """Sum of the parts per id: one shuffle for all sources; ``match_type`` names the source, or ``hybrid``.
+
+    For each of ``by_source`` its own sum is given too, as ``<source>_score``, 0 where it has none.
+    """
     rows = reduce(DataFrame.unionByName, sources)
     names = F.array_sort(F.collect_set(F.when(F.col("part") > 0, F.col("source"))))
-    out = rows.groupBy(*group, "id").agg(F.sum("part").alias("score"), names.alias("names"))
+    own = [F.coalesce(F.sum(F.when(F.col("source") == s, F.col("part"))), F.lit(0.0)).alias(f"{s}_score") for s in by_source or ()]
+    out = rows.groupBy(*group, "id").agg(F.sum("part").alias("score"), names.alias("names"), *own)
     kind = F.when(F.size("names") > 1, "hybrid").when(F.size("names") == 1, F.element_at("names", 1)).otherwise("unknown")
-    return out.select(*group, "id", "score", kind.alias("match_type"))
+    return out.select(*group, "id", "score", kind.alias("match_type"), *(f"{s}_score" for s in by_source or ()))
 
 
 def best_per_file(hits: DataFrame, group: list[str], file: list[str]) -> DataFrame:

@@ -149,6 +149,24 @@ def root_hashes(files: DataFrame, algorithm: str = "xxh3") -> DataFrame:
     return rows.repartition("repo").sortWithinPartitions("repo", "relative_path", "file_hash").mapInArrow(run, "repo string, root_hash string")
 
 
+def profile_usage(states: DataFrame) -> DataFrame:
+    """``profile, repos``: how many repositories use each embedding profile; none is ``''``."""
+    return states.where("repo is not null").groupBy(F.coalesce("embedding_profile", F.lit("")).alias("profile")).agg(F.countDistinct("repo").alias("repos"))
+
+
+def with_status(states: DataFrame, statuses: list[str], profile: str | None = None) -> DataFrame:
+    """Entries of one of the statuses, or, if a profile is wanted, of another profile; ``reason`` says which."""
+    by_status = F.coalesce(F.col("status").isin(*statuses), F.lit(False))
+    by_profile = ~F.col("embedding_profile").eqNullSafe(F.lit(profile)) if profile is not None else F.lit(False)
+    return states.where("repo is not null").where(by_status | by_profile).withColumn("reason", F.when(by_status, "status").otherwise("profile"))
+
+
+def overlay_size(changed: DataFrame, files_at_most: int, bytes_at_most: int) -> DataFrame:
+    """``repo, changed_files, overlay_bytes, too_large`` of the changed files of working copies; ``changed(repo, relative_path, bytes)``."""
+    sums = changed.groupBy("repo").agg(F.count(F.lit(1)).alias("changed_files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("overlay_bytes"))
+    return sums.withColumn("too_large", (F.col("changed_files") > files_at_most) | (F.col("overlay_bytes") > bytes_at_most))
+
+
 def within_budget(files: DataFrame, limit: int = CHUNK_BUDGET) -> DataFrame:
     """Files in path order until the next would exceed the chunk budget; ``files(repo, relative_path, chunks)``."""
     w = Window.partitionBy("repo").orderBy("relative_path")

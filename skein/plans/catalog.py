@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import code, hierarchies, scalars, search, upkeep
+from skein.plans import code, hierarchies, scalars, scopes, search, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [search, scalars, code, upkeep, hierarchies]
+_MODULES = [search, scalars, code, upkeep, hierarchies, scopes]
 
 
 def queries() -> dict[str, Query]:
