@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 
 #: Beginnings of the names of collections that the engine manages.
-MANAGED = ("code_chunks_", "hybrid_code_chunks_", "code_symbols_", "hybrid_code_symbols_")
+MANAGED = ("hybrid_code_chunks_", "hybrid_symbols_", "hybrid_code_overlay_", "hybrid_symbols_overlay_")
 
 
 def chunks(rows: DataFrame, file: str | None = None, prefix: str | None = None, language: str | None = None, extensions: list[str] | None = None) -> DataFrame:

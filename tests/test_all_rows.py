@@ -47,15 +47,15 @@ def test_rows_with_other_letters_are_kept(spark, tmp_path):
     spark.createDataFrame(list(ASKED.items()), "query_id string, query string").write.parquet(f"{tmp_path}/search_query.parquet")
     spark.createDataFrame(list(DOCS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
-    assert {r[0]: r[1] for r in got("classify_queries_all")} == {k: kind(v) for k, v in ASKED.items()} | {f"d{k}": kind(v) for k, v in DOCS.items()}
-    assert {r[0]: r[1] for r in got("snippets_all")} == {k: hashlib.md5(snippet(v).encode()).hexdigest() for k, v in TEXTS.items()}
-    split = {k: [x.rstrip("\r\n").strip(" ") for x in v.removesuffix("\n").split("\n")] for k, v in TEXTS.items()}
-    want = {(f"f{k}.py", line): n for k, ls in split.items() for line, n in Counter(x for x in ls if x).items()}
-    assert {(r["relative_path"], r["line"]): r["n"] for r in got("line_histogram_all")} == want
+    assert {r[0]: r[1] for r in got("classify_queries")} == {k: kind(v) for k, v in ASKED.items()} | {f"d{k}": kind(v) for k, v in DOCS.items()}
+    assert {r[0]: r[1] for r in got("snippets")} == {k: hashlib.md5(snippet(v).encode()).hexdigest() for k, v in TEXTS.items()}
+    split = {k: [x.strip() for x in v.removesuffix("\n").split("\n")] for k, v in TEXTS.items()}
+    want = {(f"f{k}.py", hashlib.md5(line.encode()).hexdigest()): n for k, ls in split.items() for line, n in Counter(x for x in ls if x).items()}
+    assert {(r["relative_path"], r["line_md5"]): r["n"] for r in got("line_histogram")} == want
     best = {}
     for k, ls in split.items():
-        scored = [(-(1000 * (ls.count(x) == 1) + 25 * bool(re.search(r"[=:()\[\]{}]", x)) + 100 - i + 600 * ("return" in x)), i + 1, x) for i, x in enumerate(ls)]
+        scored = [(-(1000 * (ls.count(x) == 1) + 25 * bool(re.search(r"[=:()\[\]{}]", x)) + 100 - i + 500 * (i == 0) + 600 * ("return" in x)), i + 1, x) for i, x in enumerate(ls)]
         for s, n, x in sorted(scored)[:2]:
             best[k, n] = (x, -s)
-    assert {(r["id"], r["line_no"]): (r["anchor"], r["score"]) for r in got("anchor_rank_all")} == best
-    assert {r["id"]: r["state"] for r in got("window_ready_all")} == dict.fromkeys(TEXTS, "ready")
+    assert {(r["id"], r["line_no"]): (r["anchor"], r["score"]) for r in got("anchor_rank")} == best
+    assert {r["id"]: r["state"] for r in got("window_ready")} == dict.fromkeys(TEXTS, "ready")

@@ -44,13 +44,26 @@ def test_plan(spark):
 
 
 def test_lines_and_snippets(spark):
-    assert one(spark, T.line_slice(F.col("t"), 2, 3), t="alpha\nbeta\ngamma\n") == "beta\ngamma"
+    assert one(spark, T.line_slice(F.col("t"), 2, 3), t="alpha\nbeta\ngamma\n") == "beta\ngamma\n"
+    assert one(spark, T.line_slice(F.col("t"), 2, 3), t="alpha\nbeta\ngamma") == "beta\ngamma" and one(spark, T.line_slice(F.col("t"), 5, 6), t="a\n") == ""
+    assert one(spark, T.line_slice(F.col("t"), 1, 1), t="a\nb") == "a\n"
     assert one(spark, T.snippet(F.lit("needle"), F.col("t"), 30), t="x" * 50 + "needle" + "y" * 50).count("needle") == 1
     assert one(spark, T.preview(F.col("t"), 3), t="\nabcd\n") == "abc\n..."
     assert one(spark, T.byte_size(F.col("t")), t="25MB") == 25 * 1024**2
     assert one(spark, T.byte_size(F.col("t")), t="many") is None
 
 
+def test_json_strings(spark):
+    for text, want in (('{"a": "x"}', "x"), ('{"a": 3}', "3"), ('{"a": true}', "true"), ('{"a": null}', None), ('{"a": [1]}', None), ('{"a": {"b": 1}}', None), ("{cut", None), ('{"b": 1}', None)):
+        assert one(spark, T.json_string(F.col("j"), "a"), j=text) == want, text
+
+
+def test_flavors(spark):
+    rows = [("where is the userIndex built", "content identifiers basename path"), ("UserIndex", "identifiers basename path content"), ("src/user_index.rs", "path basename identifiers")]
+    got = planner.flavored(spark.createDataFrame([(q,) for q, _ in rows] + [(None,)], "query string")).collect()
+    assert [" ".join(r["fields"]) for r in got[1:3]] == [f for _, f in rows[1:]] and got[1]["text"] == "user index" and got[2]["text"] == "src user_index rs"
+
+
 def test_ids(spark):
     got = one(spark, T.chunk_id(F.lit("src/lib.rs"), F.lit(10), F.lit(20), F.col("c")), c="fn example() {}")
     assert len(got) == 22 and got.startswith("chunk_")

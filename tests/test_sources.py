@@ -1,5 +1,7 @@
 import time
 
+import pytest
+
 from skein import ingest
 from skein.api import Index, clamp
 from skein.plans import catalog
@@ -23,13 +25,32 @@ def test_scan_chunk_and_reindex(spark, tmp_path):
     got = {r["relative_path"] for r in scan.scan(spark, str(root)).collect()}
     assert got == {"src/a.py", "src/b.md"}
     first = ingest.index_repo(spark, str(root))
-    assert {(r["name"], r["kind"], r["container"]) for r in first["symbols"].collect()} == {("A", "class", None), ("f", "method", "A"), ("g", "function", None)}
-    files, chunks = spark.createDataFrame(first["files"].collect(), first["files"].schema), spark.createDataFrame(first["chunks"].collect(), first["chunks"].schema)
+    assert {(r["name"], r["kind"], r["container"]) for r in first["symbol_row"].collect()} == {("A", "class", None), ("f", "method", "A"), ("g", "function", None)}
+    assert {r["name"]: r["parent_symbol_id"] is None for r in first["symbol_row"].collect()} == {"A": True, "f": False, "g": True}
+    files = spark.createDataFrame(first["file_state"].collect(), first["file_state"].schema)
     (root / "src/a.py").write_text("def h():\n    return 3\n")
     (root / "src/b.md").unlink()
-    second = ingest.index_repo(spark, str(root), files, chunks)
+    second = ingest.index_repo(spark, str(root), files)
     assert {(r["relative_path"], r["change"]) for r in second["changes"].collect()} == {("src/a.py", "modified"), ("src/b.md", "removed")}
-    assert {r["relative_path"] for r in second["chunks"].collect()} == {"src/a.py"}
+    assert {r["relative_path"] for r in second["chunk_doc"].collect()} == {"src/a.py"}
+
+
+def test_nested_ignore_files_negation_links_and_added_extensions(spark, tmp_path):
+    for name in ("keep.py", "gen/a.py", "gen/keep.py", "web/x.py", "web/lib/x.py", "other.py", "a.foo", "logs/x.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("gen/*\n!gen/keep.py\n")
+    (tmp_path / "web/.gitignore").write_text("x.py\n!lib/x.py\n")
+    (tmp_path / "link.py").symlink_to(tmp_path / "keep.py")
+    got = lambda **k: {r["relative_path"] for r in scan.scan(spark, str(tmp_path), **k).collect()}
+    assert got(ignore=["logs"]) == {"keep.py", "gen/keep.py", "web/lib/x.py", "other.py"}
+    assert "a.foo" in got(extensions=["foo"]) and "keep.py" in got(extensions=["foo"])
+    assert got(below="web") == {"web/lib/x.py"} and got(below="gen/keep.py") == {"gen/keep.py"}
+    assert [r[0] for r in scan.candidate_paths(spark, str(tmp_path), "gen").collect()] == ["gen/keep.py"]
+    assert scan.snapshot(spark, str(tmp_path), "keep.py").first()["lines"] == 1
+    for bad in ("../x.py", "none.py"):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            scan.snapshot(spark, str(tmp_path), bad)
 
 
 def test_minified_and_packing():
@@ -42,12 +63,13 @@ def test_minified_and_packing():
 def test_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     for i in range(3):
-        spark.sql(f"select 'r{i % 2}' repo, {i == 0} force, false explicit, timestamp'2026-01-0{i + 1}' at").coalesce(1).write.mode("append").parquet(src)
+        spark.sql(f"select 'r{i % 2}' repo, {i == 0} force, false explicit, timestamp'2026-01-0{i + 1}' at, array('.x{i}') custom_extensions, cast(array() as array<string>) ignore_patterns").coalesce(1).write.mode("append").parquet(src)
         time.sleep(0.05)
     q = refresh.run_queue(refresh.pending(spark, src), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     last = spark.read.parquet(str(tmp_path / "out/v=2")).collect()
-    assert {(r["repo"], r["force"], r["n"]) for r in last} == {("r0", True, 2), ("r1", False, 1)}
+    assert {(r["repo"], r["force"], r["n"], *r["custom_extensions"]) for r in last} == {("r0", True, 2, ".x2"), ("r1", False, 1, ".x1")}
+    assert not (tmp_path / "out/v=0").exists()
 
 
 def test_api(spark):
