@@ -15,6 +15,7 @@ import uuid
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -64,6 +65,11 @@ class Stage:
             _delete(self.spark, t._skein_path)  # noqa: SLF001
 
 
+def small_side(table_: DataFrame, at_most: int) -> DataFrame:
+    """``table_``, written before, for one side of a join: broadcast if it has at most ``at_most`` rows, shuffled beyond."""
+    return F.broadcast(table_) if table_.count() <= at_most else table_
+
+
 def release() -> None:
     """Delete the intermediate tables of all runs so far; results that are still to be read need theirs."""
     while Stage.made:
