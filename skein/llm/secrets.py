@@ -296,17 +296,21 @@ def index(texts: DataFrame) -> DataFrame:
     return texts.select("doc", F.explode(F.array_distinct(_runs(F.col("content")))).alias("run")).select("doc", F.xxhash64("run").alias("run"))
 
 
-def holders(texts: DataFrame, values: DataFrame) -> DataFrame:
+def holders(texts: DataFrame, values: DataFrame, broadcast_values: int) -> DataFrame:
     """``doc, value`` where the longest run of ``value`` is one of the text's; nothing else of the text is compared yet.
 
-    The join is on the run. Spark broadcasts the values where they are small and
-    splits the partition of a frequent run where they are not.
+    The join is on the run. Up to ``broadcast_values`` values are broadcast; more are
+    shuffled with the index, where adaptive execution splits the partition of a
+    frequent run. Repeated rows of a text give repeated rows.
     """
     longest = F.array_max(F.transform(_runs(F.col("value")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    return index(texts).join(values.select("value", F.xxhash64(longest).alias("run")), "run").select("doc", "value").distinct()
+    keyed = values.select("value", F.xxhash64(longest).alias("run"))
+    if values.count() <= broadcast_values:
+        keyed = F.broadcast(keyed)
+    return index(texts).join(keyed, "run").select("doc", "value")
 
 
-def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8) -> DataFrame:
+def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8, broadcast_values: int = 500_000) -> DataFrame:
     """``tab, id, owner, doc, line_no, start, stop, value, rule``: each place of a confirmed secret, once per distinct row.
 
     A value that more than ``owners_at_most`` repositories hold, in whatever
@@ -316,7 +320,7 @@ def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8) -> Da
     texts = _texts(chunks, vectors)
     first = stage.save(candidates(texts))
     values = stage.save(first.where("rule != 'pem'").select("value").distinct())
-    wanted = holders(texts, values)
+    wanted = stage.save(holders(texts, values, broadcast_values)).distinct()
     held = texts.join(wanted, "doc").where(F.contains("content", F.col("value")))
     again = stage.save(held.select("tab", "id", "owner", "doc", "content", "value").mapInArrow(_scan, ROWS))
     every = first.unionByName(again)
