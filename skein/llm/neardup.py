@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.runtime import Stage
+from skein.runtime import Stage, small_side
 
 WORD = re.compile(r"[a-z0-9_]{3,}")
 _PROFILE = "id string, cls binary, copy long, total int, sketch binary, elems array<long>, bands array<long>"
@@ -213,7 +213,7 @@ def _by_rare_elements(first: DataFrame, hot: DataFrame, threshold: float, block:
     return _together(ranked.where(F.col("rank") <= least).select(F.col("elem").alias("band"), "cls", "n"), block)
 
 
-def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.7, min_words: int = 30, bands: int = 40, rows: int = 5, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float = 0.7, min_words: int = 30, bands: int = 40, rows: int = 5, block: int = 512, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of near-duplicate texts.
 
     ``members(id, cls, copy)`` names each text's class of equal word counts and
@@ -221,19 +221,21 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     ``links(cls_1, cls_2, similarity)`` holds every found pair of classes with a
     similarity of at least ``threshold``. A pair at 0.7 is missed with a
     probability of about 0.0006 by 40 bands of 5 rows. Repeated rows of an id
-    count once; empty input gives empty results.
+    count once; empty input gives empty results. Copies, shared bands and linked
+    classes are narrow rows that are broadcast up to ``broadcast_rows`` each, and
+    shuffled beyond.
     """
     stage = Stage(texts.sparkSession, "neardup")
     profiles = stage.save(profile(texts, text_id, text, min_words, bands, rows))
     members = profiles.groupBy("id", "cls").agg(F.min("copy").alias("copy"))
     copies = stage.save(profiles.select("cls", "id").join(profiles.groupBy("cls").agg(F.min("id").alias("head")), "cls").where("id != head").select("cls", "id").distinct())
-    first = profiles.join(copies, ["cls", "id"], "left_anti")
+    first = profiles.join(small_side(copies, broadcast_rows), ["cls", "id"], "left_anti")
     # Bands are shuffled with a 64-bit key of the class; should two classes share one, both are compared exactly below.
     key = F.xxhash64("cls")
     banded = first.select(key.alias("cls"), F.explode("bands").alias("band"))
     # Sizes by partial aggregation: no task ever holds a hot band whole.
     shared = stage.save(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    sized = stage.save(banded.join(shared, "band"))
+    sized = stage.save(banded.join(small_side(shared, broadcast_rows), "band"))
     hot = sized.where(F.col("n") > block).select("cls").distinct()
     keyed = first.select(key.alias("cls"), "total", "elems")
     pairs = _together(sized.where(F.col("n") <= block), block).unionByName(_by_rare_elements(keyed, stage.save(hot), threshold, block))
@@ -242,7 +244,7 @@ def similar_classes(texts: DataFrame, text_id: str, text: str, threshold: float
     two = first.select(key.alias("key_2"), F.col("cls").alias("cls_2"), F.col("total").alias("t2"), F.col("sketch").alias("s2"))
     likely = stage.save(_estimate(pairs.join(one, "key_1").join(two, "key_2"), threshold))
     named = stage.save(likely.select(F.explode(F.array("cls_1", "cls_2")).alias("cls")).distinct())
-    first = first.join(named, "cls", "left_semi")
+    first = first.join(small_side(named, broadcast_rows), "cls", "left_semi")
     elems_1 = first.select(F.col("cls").alias("cls_1"), F.col("elems").alias("elems_1"))
     elems_2 = first.select(F.col("cls").alias("cls_2"), F.col("elems").alias("elems_2"))
     links = _verify(likely.join(elems_1, "cls_1").join(elems_2, "cls_2"), threshold)
