@@ -292,22 +292,27 @@ def _runs(text: Column) -> Column:
 
 
 def index(texts: DataFrame) -> DataFrame:
-    """``doc, run``: a hash of every run of letters and digits of every text, once per text."""
-    return texts.select("doc", F.explode(F.array_distinct(_runs(F.col("content")))).alias("run")).select("doc", F.xxhash64("run").alias("run"))
+    """``texts`` with ``run``: a hash of every run of letters and digits of every text, once per text."""
+    each = texts.withColumn("run", F.explode(F.array_distinct(_runs(F.col("content")))))
+    return each.withColumn("run", F.xxhash64("run"))
 
 
-def holders(texts: DataFrame, values: DataFrame, broadcast_values: int) -> DataFrame:
-    """``doc, value`` where the longest run of ``value`` is one of the text's; nothing else of the text is compared yet.
+def holders(texts: DataFrame, values: DataFrame, stage: Stage, broadcast_values: int) -> DataFrame:
+    """``texts`` with ``value``: every pair in which the value is a part of the text, rows of one text in sequence.
 
-    The join is on the run. Up to ``broadcast_values`` values are broadcast; more are
-    shuffled with the index, where adaptive execution splits the partition of a
-    frequent run. Repeated rows of a text give repeated rows.
+    Pairs are found by one run of the value that is also one of the text's, if
+    possible one with a digit, which few texts share. Up to ``broadcast_values``
+    values are broadcast and compared while the texts are read; more are shuffled
+    with the index, where adaptive execution splits the partition of a frequent run.
     """
-    longest = F.array_max(F.transform(_runs(F.col("value")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = values.select("value", F.xxhash64(longest).alias("run"))
+    telling = F.transform(_runs(F.col("value")), lambda x: F.struct((x.rlike("[0-9]") & (F.length(x) > 2)).alias("digit"), F.length(x).alias("n"), x.alias("x")))
+    keyed = values.select("value", F.xxhash64(F.array_max(telling)["x"]).alias("run"))
     if values.count() <= broadcast_values:
-        keyed = F.broadcast(keyed)
-    return index(texts).join(keyed, "run").select("doc", "value")
+        pairs = index(texts).join(F.broadcast(keyed), "run")
+    else:
+        wanted = stage.save(index(texts.select("doc", "content")).join(keyed, "run").select("doc", "value")).distinct()
+        pairs = texts.join(wanted, "doc")
+    return pairs.where(F.contains("content", F.col("value"))).select("tab", "id", "owner", "doc", "content", "value")
 
 
 def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8, broadcast_values: int = 500_000) -> DataFrame:
@@ -320,9 +325,7 @@ def detect(chunks: DataFrame, vectors: DataFrame, owners_at_most: int = 8, broad
     texts = _texts(chunks, vectors)
     first = stage.save(candidates(texts))
     values = stage.save(first.where("rule != 'pem'").select("value").distinct())
-    wanted = stage.save(holders(texts, values, broadcast_values)).distinct()
-    held = texts.join(wanted, "doc").where(F.contains("content", F.col("value")))
-    again = stage.save(held.select("tab", "id", "owner", "doc", "content", "value").mapInArrow(_scan, ROWS))
+    again = stage.save(holders(texts, values, stage, broadcast_values).mapInArrow(_scan, ROWS))
     every = first.unionByName(again)
     shared = every.where("rule != 'pem'").groupBy("value").agg(F.countDistinct("owner").alias("owners")).where(F.col("owners") > owners_at_most)
     kept = every.join(shared, "value", "left_anti")

@@ -100,6 +100,8 @@ def test_owners_are_counted_wherever_a_value_stands(spark):
     rows += [(f"x{i}", f"repo{i}", "say 'welcomeTeam2!' to all") for i in range(9)] + [("y", "repo1", "keptValue77? again"), ("w", "repo2", "xkeptValue77? is part of a word")]
     got = {(r["id"], r["value"]) for r in S.detect(chunks(spark, rows), vectors(spark, [])).collect()}
     assert got == {("k", "keptValue77?"), ("y", "keptValue77?")}
+    shuffled = S.detect(chunks(spark, rows), vectors(spark, []), broadcast_values=0)
+    assert {(r["id"], r["value"]) for r in shuffled.collect()} == got
 
 
 def test_all_texts_with_secrets_redacted(spark):
