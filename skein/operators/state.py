@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import filters
+
 KEY = ["repo", "relative_path"]
 #: Statuses by priority; overlay states that hide canonical files, and that can be searched.
 STATUS_ORDER = ("indexing", "indexfailed", "indexed")
@@ -179,6 +181,16 @@ def orphans(existing: DataFrame, expected: DataFrame, by: str = "name") -> DataF
     return existing.join(expected.select(by).distinct(), by, "left_anti")
 
 
+def hygiene(existing: DataFrame, expected: DataFrame, warm: int) -> tuple[DataFrame, int]:
+    """Managed collections that nothing expects any more, and how many should be loaded at most: two for each warm repository."""
+    return orphans(existing.where(filters.managed(F.col("name"))), expected), 2 * warm
+
+
+def maintenance(full: bool, changed_files: int) -> tuple[bool, bool]:
+    """``(release, flush)`` of vectors after a run: on any change, and after a full run or many changed files."""
+    return full or changed_files > 0, full or changed_files >= FLUSH_FILES
+
+
 def merge_requests(requests: DataFrame) -> DataFrame:
     """Pending requests per repository: flags are OR-ed, the last non-empty lists win."""
     last = [F.max_by(c, F.when(F.size(c) > 0, F.col("at"))).alias(c) for c in ("custom_extensions", "ignore_patterns") if c in requests.columns]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import planner, shapes
 from skein.functions import text as T
 from skein.operators import filters, fusion, retrieval, state, symbols
-from skein.plans.search import _WEIGHTS, LATEST, _dense_sql, _source_sql
+from skein.plans.search import _FIELDS, _WEIGHTS, LATEST, _bm25_sql, _dense_sql, _source_sql
 from skein.plans.scalars import KIND, terms_sql
 from skein.plans.upkeep import _overlay, _present
 from skein.runtime import table
@@ -157,10 +157,22 @@ flavor AS (SELECT query_id, kind, CASE kind WHEN 'identifier' THEN 'identifiers
   CASE WHEN kind IN ('identifier', 'path') THEN array_to_string({_T}, ' ') WHEN kind = 'mixed' THEN q || ' ' || array_to_string({_T}, ' ') ELSE q END AS text FROM kinds)"""
 _SYMBOL_LIST = """SELECT repo, symbol_id, '{0}' AS source, {1} / (100 + rank + 1) + 0.35::DOUBLE * {1} * least(greatest(score / greatest(most, 1.0), 0.0), 1.25) AS part
 FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, symbol_id) - 1 AS rank FROM (SELECT *, max(score) OVER (PARTITION BY repo) AS most FROM {2}) y) z WHERE rank < {3}"""
+def _flavored_sql() -> str:
+    made = _bm25_sql("chunks", _FIELDS, "id", "id")
+    head, tail = made.split("asked AS (", 1)
+    tail = "scored AS (" + tail.split("scored AS (", 1)[1]
+    for f in _FIELDS:
+        tail = tail.replace(f"JOIN d_{f} USING (term) JOIN asked USING (term)", f"JOIN d_{f} USING (term) JOIN (SELECT query_id, term FROM wanted WHERE list_contains(string_split(fields, ' '), '{f}')) x USING (term)")
+    words = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9_]', ' ', 'g')), ' '), lambda x: x <> '')"
+    terms = f"CASE WHEN kind = 'natural_language' THEN list_concat({words}, {terms_sql('text')}) ELSE {words} END"
+    return f"WITH chunks AS (SELECT DISTINCT id, repo, relative_path, content FROM chunk_doc WHERE id IS NOT NULL), {_FLAVOR}, wanted AS (SELECT DISTINCT query_id, fields, unnest({terms}) AS term FROM flavor), {head}{tail}"
+
+
 _NAME = r"list_extract(string_split(trim(replace(relative_path, '\', '/'), '/'), '/'), -1)"
 SQL = {
     "chunk_filters": "SELECT DISTINCT id FROM chunk_doc WHERE starts_with(relative_path, 'src') AND language = 'rust' AND extension IN ('.rs', '.py')",
     "flavor_fields": f"WITH {_FLAVOR} SELECT query_id, kind, fields, text FROM flavor",
+    "flavored_search": _flavored_sql(),
     "symbol_texts": f"WITH {LATEST} SELECT repo, symbol_id, kind || ' ' || name || ' in ' || CASE WHEN coalesce(container, '') <> '' THEN container ELSE 'root' END || ' from ' || relative_path || ' (' || language || ')' AS text FROM latest WHERE name IS NOT NULL AND kind IS NOT NULL AND relative_path IS NOT NULL AND language IS NOT NULL",
     "symbol_fusion": f"""WITH {LATEST}, near AS ({_dense_sql("").removesuffix("ORDER BY score DESC, id LIMIT 50").replace("SELECT DISTINCT id, vector::DOUBLE[] AS v FROM vector_doc WHERE vector IS NOT NULL AND len(vector) = 64 ", "SELECT id, max(vector)::DOUBLE[] AS v FROM vector_doc WHERE id IS NOT NULL AND vector IS NOT NULL GROUP BY id HAVING len(max(vector)) = 64")}),
 named AS (SELECT * FROM (SELECT repo, symbol_id, (CASE WHEN lower(name) = 'kernel' THEN 8.0 ELSE 0 END + CASE WHEN lower({_NAME}) = 'kernel' THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(relative_path), 'kernel') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(container, '')), 'kernel') THEN 1.0 ELSE 0 END)::DOUBLE AS score FROM latest) z WHERE score > 0),
