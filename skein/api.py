@@ -5,6 +5,7 @@ Each function returns a lazy DataFrame; nothing runs until it is read.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from skein.functions import embed, planner
 from skein.functions import text as T
 from skein.operators import fusion, lines, retrieval, state, symbols
 from skein.runtime import table
+from skein.sources import scan
 from skein.sources.store import Store
 
 #: Bounds of arguments, as (least, most).
@@ -202,7 +204,7 @@ class Index:
 
         A place is a symbol, given by id, by name, or as the smallest one around a line or
         around the chosen match of a literal (the nth, else the nearest to the line, else
-        the only one). Where it has more than ``max_lines`` lines, or no symbol is there, a
+        the only one). Lines are those of the live file if it can be read, else of its chunks. Where it has more than ``max_lines`` lines, or no symbol is there, a
         window around the match or line is the place (``kind`` is ``window``).
         """
         if line_hint is None and not query and not symbol_name and not symbol_id:
@@ -218,7 +220,10 @@ class Index:
             spans = spans.where(F.col("name") == symbol_name)
         spans = spans.where("start_line <= end_line").select("repo", "relative_path", "symbol_id", "name", "kind", "start_line", "end_line")
         key = ["repo", "relative_path"]
-        chunks = self._chunks([repo], None, None, file, None).join(spans.select(*key).distinct(), key, "left_semi") if not file else self._chunks([repo], None, None, file, None)
+        chunks = self._live(repo, file) if file else None
+        if chunks is None:
+            chunks = self._chunks([repo], None, None, file, None)
+            chunks = chunks if file else chunks.join(spans.select(*key).distinct(), key, "left_semi")
         numbered = lines.numbered(chunks, key, "content", F.col("start_line")).groupBy(*key, "line_no").agg(F.max("line").alias("line"))
         total = numbered.groupBy(*key).agg(F.max("line_no").alias("total"))
         focus = None
@@ -252,6 +257,13 @@ class Index:
         out = places.join(picked, "place", "left")
         return out.select("repo", "relative_path", "symbol_id", "name", "kind", "start_line", "end_line", lines.readiness(size, F.coalesce("unique", F.lit(0))).alias("status"), "anchors").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "symbol_id")
 
+    def _live(self, repo: str, file: str) -> DataFrame | None:
+        """The whole text of a file as it is now, if it is there to be read; chunks leave out what lies between definitions."""
+        if not os.path.isdir(repo) or not os.path.isfile(scan.inside(repo, file)):
+            return None
+        now = scan.snapshot(self.spark, repo, file)
+        return now.select(F.lit(repo).alias("repo"), "relative_path", F.col("text").alias("content"), F.lit(1).alias("start_line"))
+
     def explain_search(self, query: str, mode: str = "auto") -> planner.Plan:
         return planner.plan_one(self.spark, query, mode)
 
