@@ -54,6 +54,8 @@ _BARE = re.compile(r"[^\s\"'`;,#][^\s\"'`;,]*")
 _LINE_ENDS = re.compile(r"\s*(?:[;,]\s*)?(?:#.*)?(?:\n|\Z)")
 #: Names of passwords, behind which short values and values with blanks count too; words of prompts and messages.
 _PASSWORD = re.compile(r"(?:passw(?:or)?[dt]|kennwort|contrase[nñ]a|passphrase|passwd|pwd|passcode)$", re.I)
+#: Options of common tools whose value is or ends in a password.
+_LOGIN_OPTION = re.compile(r"(?<!\S)(?:-u\s?|--(?:proxy-)?user[=\s]\s*)[\"']?[^\s:\"'`]+:([^\s\"'`]+)|\b(?:sshpass\s+-p\s*|mysql(?:dump|admin)?\b[^|;\n]*?\s-p(?=\S))[\"']?([^\s\"'`]+)")
 _QUOTED_OPTION = re.compile(r"--?[\w-]*(?:password|passphrase|passwd|pwd|passcode)(?:=|\s+)([\"'])((?:(?!\1)[^\n])+ (?:(?!\1)[^\n])+)\1", re.I)
 _MESSAGE = re.compile(
     r"(?i)\b(?:passw(?:or)?ds?|passphrases?|passwd|pwd|secret|token|key|credentials?|login|enter|type|please|your|must|is|are|be|was|the|required?|invalid|wrong|incorrect|missing|empty|confirm|forgot(?:ten)?|reset|change|repeat|minimum|maximum|characters?|least|not|should|cannot|can|if|from|select|where|and|or|none|null|error|failed)\b|[?:…]$"
@@ -64,7 +66,7 @@ _PLACEHOLDER = re.compile(
     r"<[\w .-]+>|\{[\w. -]*\}|\[[^\]]+\][{*+?]?|\(.*\|.*\)|\[\^|^\$[\w{(]|^%[\w(]+%?$|\$\{|\{\{|^x{3,}$|^[.*x-]+$|change[_-]?me|replace[_-]?me|your[_-]|placeholder|dummy|sample|redacted|^todo|^fixme|^none$|^null$|^true$|^false$|^undefined$|not[_-]?set|^test$|^example|^insert|\.\.\.|^https?://|^data:|/secrets?/|^projects/", re.I
 )
 #: Lower-case parts of which every match of a rule holds one (the shortest literal of each); the known formats need no line of their own.
-_PARTS = "pass kennwort contrase pwd secret token key credential bearer auth sig basic login log_in connect ://".split()
+_PARTS = "pass kennwort contrase pwd secret token key credential bearer auth sig basic login log_in connect :// mysql --user --proxy-user".split() + ["-u"]
 #: Letters that a pattern without regard to case takes for ``s`` or ``i`` although their lower case is another.
 _FOLDED = {"\u017f": "s", "\u0131": "i", "\u0130": "i"}
 _FORMATS = "akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ sk_test_ pk_live_ pk_test_ rk_live_ rk_test_ aiza glpat- npm_ sg. hf_ whsec_ sk- shpat_ shpss_ shpca_ shppa_ dop_v1_ ya29. sq0 pypi- dckr_pat_ lin_api_ xapp- eyj".split()
@@ -175,6 +177,11 @@ def _in_line(line: str) -> list[tuple[int, int, str, str]]:
         v = m[1].rstrip(").]")
         if not _NOT_A_SECRET.search(name) and (structured(v, True) or _password(name, v)) and not re.match(r"[\w.]+[(\[]", v) and (m.group()[0] in "-?&;" or _password_like(v)):
             out.append((m.start(1), m.start(1) + len(v), v, "option"))
+    for m in _LOGIN_OPTION.finditer(line):
+        k = 1 if m[1] else 2
+        v = m[k].rstrip(").],;")
+        if (structured(v, True) or _password("password", v)) and not re.match(r"[\w.]+[(\[]|//|\\", v):
+            out.append((m.start(k), m.start(k) + len(v), v, "option"))
     for m in _QUOTED_OPTION.finditer(line):
         if _password("password", m[2]):
             out.append((m.start(2), m.end(2), m[2], "option"))

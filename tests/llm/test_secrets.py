@@ -124,7 +124,21 @@ def test_empty(spark):
     assert S.detect(chunks(spark, []), vectors(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("line", ["# curl -u job:+xZRHa6am3IWmX https://a.test/", "curl --user=job:Reader#global452 -s x", "sshpass -p 'Tr33.house!9' ssh a", "mysql -h db -u root -pXk29!fooBar shop", "curl -ujob:zk7q!99x https://a.test/"])
+def test_logins_on_command_lines(line):
+    assert len(S.find("x\n" + line)) == 1
+
+
+@pytest.mark.parametrize("line", ["curl -u job:$PASS https://a.test/", "docker run -u 1000:1000 x", "docker run --user www:www x", "git push -u origin main:main2", "sort -u a:b", "mysql -h db -p shop", "curl -u job:{password} x", "curl -u job https://a.test:8080/x1Y"])
+def test_other_uses_of_these_options(line):
+    assert S.find("x\n" + line) == []
+
+
 MATCHED = [
+    (S._LOGIN_OPTION, "curl -u job:Xk29!fooBar"),
+    (S._LOGIN_OPTION, "x --user job:Xk29!fooBar"),
+    (S._LOGIN_OPTION, "mysql -pXk29!fooBar"),
+    (S._LOGIN_OPTION, "sshpass -p Xk29!fooBar"),
     (S._ASSIGN, 'pass = "Xk29!fooBar"'),
     (S._ASSIGN, "$pass = 'Xk29!fooBar'"),
     (S._ASSIGN, '(pass = "Xk29!fooBar")'),
