@@ -70,13 +70,12 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunk_doc").dropDuplicates(["id"])
-    return rows.select("id", T.preview(F.col("content"), 180).alias("preview"))
+    return table(spark, d, "chunk_doc").select("id", T.preview(F.col("content"), 180).alias("preview")).distinct()
 
 
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids recomputed from path, lines and content with xxh3."""
-    rows = table(spark, d, "chunk_doc").dropDuplicates(["id"])
+    rows = table(spark, d, "chunk_doc").select("id", "relative_path", "start_line", "end_line", "content").distinct()
     return rows.select("id", T.chunk_id(F.col("relative_path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("computed_id"))
 
 

@@ -45,18 +45,18 @@ def _overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suppress_overlay(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select(*KEY, "id")
+    hits = table(spark, d, "chunk_doc").select(*KEY, "id").distinct()
     return state.suppressed(hits, _overlay(spark, d))
 
 
 def overlay_union(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select(*KEY, "id")
+    hits = table(spark, d, "chunk_doc").select(*KEY, "id").distinct()
     fresh = hits.where(F.col("relative_path").endswith(".rs")).withColumn("id", F.concat(F.lit("overlay:"), "id"))
     return state.merged(hits, fresh, _overlay(spark, d))
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    c = state.coverage(table(spark, d, "chunk_doc").dropDuplicates(["id"]))
+    c = state.coverage(table(spark, d, "chunk_doc").select(*KEY, "id").distinct())
     return c.withColumn("status", state.index_status(F.col("files"), F.col("chunks"), 1000))
 
 
@@ -65,15 +65,18 @@ def status_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_files(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select(*KEY, "id", "file_hash")
+    hits = table(spark, d, "chunk_doc").select(*KEY, "id", "file_hash").distinct()
     return state.stale(hits, _present(spark, d)).select("id", "stale")
 
 
 def stale_collections(spark: SparkSession, d: str) -> DataFrame:
-    """Repositories that have chunks but are not in an indexed state."""
-    have = table(spark, d, "chunk_doc").where("repo is not null").select(F.concat(F.lit("chunks_"), F.md5("repo")).alias("name")).distinct()
-    want = table(spark, d, "repo_state").where("status in ('indexed', 'indexing')").select(F.concat(F.lit("chunks_"), F.md5("repo")).alias("name"))
-    return state.orphans(have, want)
+    """Collections of chunks and of symbols that no indexed or indexing repository expects; each expects one of both."""
+
+    def names(repos: DataFrame) -> DataFrame:
+        return repos.where("repo is not null").select(F.explode(F.array(*(F.concat(F.lit(k), F.md5("repo")) for k in ("hybrid_code_chunks_", "hybrid_symbols_")))).alias("name")).distinct()
+
+    have = table(spark, d, "chunk_doc").select("repo").unionByName(table(spark, d, "symbol_row").select("repo"))
+    return state.orphans(names(have), names(table(spark, d, "repo_state").where("status in ('indexed', 'indexing')")))
 
 
 def root_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -81,19 +84,19 @@ def root_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_budget(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "chunk_doc").dropDuplicates(["id"]).groupBy(*KEY).agg(F.count(F.lit(1)).alias("chunks"))
+    files = table(spark, d, "chunk_doc").select(*KEY, "id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("chunks"))
     return state.within_budget(files, 60)
 
 
 def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Stored chunks after all Python files were indexed anew."""
-    rows = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select(*KEY, "id", "start_line")
+    rows = table(spark, d, "chunk_doc").select(*KEY, "id", "start_line").distinct()
     fresh = rows.where(F.col("relative_path").endswith(".py")).withColumn("id", F.concat(F.lit("new_"), "id"))
     return state.replaced(rows, fresh)
 
 
 def delete_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select(*KEY, "id")
+    rows = table(spark, d, "chunk_doc").select(*KEY, "id").distinct()
     return state.deleted(rows, file_diff(spark, d).where("change = 'removed'"))
 
 
@@ -119,7 +122,7 @@ def distinct_files_of_stores(spark: SparkSession, d: str) -> DataFrame:
 
 def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Definitions in the text of every chunk."""
-    files = table(spark, d, "chunk_doc").dropDuplicates(["id"]).select("repo", F.concat_ws("#", "id", "relative_path").alias("relative_path"), F.col("content").alias("text"))
+    files = table(spark, d, "chunk_doc").select("repo", F.concat_ws("#", "id", "relative_path").alias("relative_path"), F.col("content").alias("text")).distinct()
     made = scan.chunks_and_symbols(files).where("name is not null")
     return made.select(T.symbol_id(F.col("relative_path"), F.col("kind"), F.col("name"), F.col("start_line"), F.col("end_line")).alias("symbol_id"), "repo", "relative_path", "kind", "name", "container", "start_line", "end_line")
 
@@ -159,7 +162,7 @@ SQL = {
     "status_totals": """SELECT CAST(coalesce(sum(indexed_files), 0) AS BIGINT) AS indexed_files, CAST(coalesce(sum(total_chunks), 0) AS BIGINT) AS total_chunks, count(error_message) AS errors,
 CASE WHEN bool_or(coalesce(status = 'indexing', false)) THEN 'indexing' WHEN bool_or(coalesce(status = 'indexfailed', false)) THEN 'indexfailed' WHEN bool_or(coalesce(status = 'indexed', false)) THEN 'indexed' ELSE 'not_indexed' END AS status FROM repo_state""",
     "stale_files": f"WITH {_C}, {_P} SELECT c.id, n.relative_path IS NULL OR coalesce(n.h1, '') <> coalesce(c.file_hash, '') AS stale FROM c LEFT JOIN now_ n ON c.repo = n.repo AND c.relative_path = n.relative_path",
-    "stale_collections": "SELECT DISTINCT 'chunks_' || md5(repo) AS name FROM chunk_doc WHERE repo IS NOT NULL AND repo NOT IN (SELECT repo FROM repo_state WHERE status IN ('indexed', 'indexing'))",
+    "stale_collections": "WITH h AS (SELECT repo FROM chunk_doc WHERE repo IS NOT NULL UNION SELECT repo FROM symbol_row WHERE repo IS NOT NULL), k AS (SELECT unnest(['hybrid_code_chunks_', 'hybrid_symbols_']) AS k) SELECT k || md5(repo) AS name FROM h, k WHERE repo NOT IN (SELECT repo FROM repo_state WHERE repo IS NOT NULL AND status IN ('indexed', 'indexing'))",
     "root_hash": f"WITH {_P} SELECT repo, md5(string_agg(relative_path || ':' || coalesce(h1, '') || chr(10), '' ORDER BY relative_path)) AS root_hash FROM now_ WHERE relative_path IS NOT NULL GROUP BY repo",
     "chunk_budget": """WITH f AS (SELECT repo, relative_path, count(DISTINCT id) AS chunks FROM chunk_doc GROUP BY ALL), r AS (SELECT *, sum(chunks) OVER (PARTITION BY repo ORDER BY relative_path) AS t FROM f)
 SELECT repo, relative_path, chunks FROM r WHERE t <= 60""",
