@@ -21,6 +21,7 @@ partition of a very large one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from skein.runtime import Stage
 
-_SHARED = "shard int, slice int, cls string, query boolean, base boolean, v binary"
+#: The routing tree is fitted on 64 vectors a shard; this bounds the sample to 266,240 vectors.
+MOST_SHARDS = 4096
+_SHARED = "shard int, part int, slice int, cls string, query boolean, base boolean, v binary"
 
 
 class Tree:
@@ -162,9 +165,10 @@ def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: in
     """``id, neighbour, similarity``: for every valid id its ``k`` most similar others of at least ``least``; ties by smaller id.
 
     The space is cut into as many shards as ``shard_rows`` classes each make, eight
-    at least, by a tree over a sample of 64 vectors a shard and 4,096 more. The
-    queries of a shard that are over ``query_rows`` (by the sample's shares) are
-    searched in slices, each against the whole shard. Tables without valid vectors
+    at least and ``MOST_SHARDS`` at most, by a tree over a sample of 64 vectors a shard
+    and 4,096 more. Shards that are still over four times ``shard_rows`` (by the
+    sample's shares) are searched in parts, and over ``query_rows`` queries of a shard in
+    slices, each slice against each part. Tables without valid vectors
     give an empty result.
     """
     spark = rows.sparkSession
@@ -175,7 +179,7 @@ def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: in
     n = heads.count()
     if not n:
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
-    shards = 1 << max(3, (n // shard_rows).bit_length())
+    shards = min(MOST_SHARDS, 1 << max(3, (n // shard_rows).bit_length()))
     share = (4096 + 64 * shards) / n
     some = heads if share >= 1 else heads.where(F.xxhash64("cls") < int(share * 2**64) - 2**63)
     points = unit(np.array(some.select("v").toPandas()["v"].tolist(), dtype=np.float32)).astype(np.float32)
@@ -184,6 +188,8 @@ def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: in
     upper = Tree(points, 1, leaves=shards)
     reach = slack * float(_distance(np.float64(least)))
     asked = {node: len(r) / len(points) * n for node, r, _ in upper.leaves_for(points, reach)}
+    held = {node: int(home.sum()) / len(points) * n for node, _, home in upper.leaves_for(points, 0.0)}
+    parts = {node: max(1, int(np.ceil(x / (4 * shard_rows)))) for node, x in held.items()}
     slices = {node: max(1, int(np.ceil(x / query_rows))) for node, x in asked.items()}
     upper.forget_points()
 
@@ -196,15 +202,15 @@ def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: in
             blob = np.array([x.tobytes() for x in raw], dtype=object)
             code = np.array([int(c.split(":")[0]) & 0x7FFFFFFF for c in cls])
             for node, r, home in upper.leaves_for(unit(raw).astype(np.float32), reach):
-                cut = code[r] % slices.get(node, 1)
-                for j in range(slices.get(node, 1)):
-                    query = cut == j
-                    use = query | home
+                p, s = parts.get(node, 1), slices.get(node, 1)
+                for i, j in product(range(p), range(s)):
+                    query, base = code[r] // 65536 % s == j, home & (code[r] % p == i)
+                    use = query | base
                     if use.any():
                         m = int(use.sum())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, x, np.int32)) for x in (node, j)] + [pa.array(cls[r][use], pa.string()), pa.array(query[use]), pa.array(home[use]), pa.array(blob[r][use], pa.binary())],
-                            names=["shard", "slice", "cls", "query", "base", "v"],
+                            [pa.array(np.full(m, x, np.int32)) for x in (node, i, j)] + [pa.array(cls[r][use], pa.string()), pa.array(query[use]), pa.array(base[use]), pa.array(blob[r][use], pa.binary())],
+                            names=["shard", "part", "slice", "cls", "query", "base", "v"],
                         )
 
     def search(group: pa.Table) -> pa.Table:
@@ -221,7 +227,7 @@ def neighbours(rows: DataFrame, vec_id: str, vector: str, width: int = 64, k: in
         return pa.table({"cls": pa.array(cls[q], pa.string()), "other": pa.array(cls[o], pa.string()), "similarity": pa.array(np.round(s, 10))})
 
     routed = heads.select("cls", "v").mapInArrow(route, _SHARED)
-    found = routed.groupBy("shard", "slice").applyInArrow(search, "cls string, other string, similarity double")
+    found = routed.groupBy("shard", "part", "slice").applyInArrow(search, "cls string, other string, similarity double")
     best = Window.partitionBy("cls").orderBy(F.desc("similarity"))
     near = found.where(F.col("similarity") >= least).withColumn("r", F.rank().over(best)).where(F.col("r") <= k + 1).drop("r")
     members = items.select("id", "cls")

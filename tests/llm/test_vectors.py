@@ -34,6 +34,12 @@ def test_factor_one_is_exact_and_the_default_nearly(spark):
     rows = [(i, v.tolist(), "c") for i, v in zip(ids, x)]
     want = {k: set(v) for k, v in brute(ids, x).items() if v}
     assert run(spark, rows, slack=1.0, shard_rows=100, query_rows=300) == want
+    few = V.MOST_SHARDS
+    V.MOST_SHARDS = 2  # shards too large are searched in parts
+    try:
+        assert run(spark, rows, slack=1.0, shard_rows=30, query_rows=300) == want
+    finally:
+        V.MOST_SHARDS = few
     got = run(spark, rows)
     hit = sum(len(got.get(k, set()) & v) for k, v in want.items())
     assert hit / sum(map(len, want.values())) >= 0.95
