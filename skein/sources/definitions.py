@@ -30,6 +30,12 @@ RULES["kotlin"] = [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+
 RULES["swift"] = [("class", r"\bclass\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("protocol", r"\bprotocol\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("function", r"\bfunc\s+(\w+)")]
 RULES["scala"] = [("class", r"\bclass\s+(\w+)"), ("object", r"\bobject\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("function", r"\bdef\s+(\w+)")]
 RULES["php"] = [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("function", r"\bfunction\s+&?(\w+)")]
+RULES["objective-c"] = [("class", r"@(?:interface|implementation)\s+(\w+)"), ("protocol", r"@protocol\s+(\w+)(?!\s*[;,])"), ("method", r"^[-+]\s*\([^()]*\)\s*(\w+)[^;{}]*(?=\{)"), *RULES["c"]]
+#: Words that open a block up to ``end`` where a statement begins with them, and definitions among them.
+_RUBY_OPENS = re.compile(r"(?:^|;|=)[ \t]*(?:(?:private|protected|public)[ \t]+)?(class|module|def|if|unless|while|until|case|begin|for)\b(?![?!:])|\b(do)\b(?=[ \t]*(?:\|[^|\n]*\|)?[ \t]*(?:$|;))|(?<![.\w:])(end)\b(?![?!:])", re.M)
+_RUBY_NAME = re.compile(r"[ \t]+(?:<<[ \t]*self|(?:self\.)?([\w:]+[?!=]?|[-+*/<=>!\[\]%&|^~]+))")
+_RUBY_SHORT = re.compile(r"(?:\([^()\n]*\))?[ \t]*=[ \t]")
+_RUBY_HIDE = re.compile(r"^=begin\b.*?^=end\b[^\n]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|(?<!\S)#[^\n]*", re.S | re.M)
 _COMPILED = {k: [(kind, re.compile(p, re.M)) for kind, p in v] for k, v in RULES.items()}
 _NEEDS_BODY = {"c": {"struct", "union", "enum"}, "cpp": {"struct", "union", "enum", "class"}}
 
@@ -42,6 +48,40 @@ class Definition(NamedTuple):
     end: int
 
 
+def _ruby(text: str) -> list[Definition]:
+    """Classes, modules and methods from ``class`` and the like to their ``end``; a method without one ends with its line."""
+    bare = _RUBY_HIDE.sub(_blank, text)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    open_: list[Definition | None] = []
+    out: list[Definition] = []
+    loop = -1  # a loop's own ``do`` opens nothing more
+    for m in _RUBY_OPENS.finditer(bare):
+        line = bisect_right(starts, m.start(3) if m[3] else m.end() - 1)
+        if m[3]:
+            done = open_.pop() if open_ else None
+            if done:
+                out.append(done._replace(end=line))
+            continue
+        if m[2]:
+            if line != loop:
+                open_.append(None)
+            continue
+        if m[1] in ("while", "until", "for"):
+            loop = line
+        name = _RUBY_NAME.match(bare, m.end()) if m[1] in ("class", "module", "def") else None
+        if m[1] == "def" and name and _RUBY_SHORT.match(bare, name.end()):
+            box = "::".join(d.name for d in open_ if d) or None
+            out.append(Definition("method" if box else "function", name[1], box, line, line))
+            continue
+        if name and name[1] and len(name[1].encode()) <= NAME_BYTES:
+            box = "::".join(d.name for d in open_ if d) or None
+            kind = {"def": "method" if box else "function"}.get(m[1], m[1])
+            open_.append(Definition(kind, name[1], box, line, line))
+        else:
+            open_.append(None)
+    return sorted(out, key=lambda d: (d.start, -d.end))
+
+
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m.group())
 
@@ -52,6 +92,8 @@ def definitions(text: str, language: str) -> list[Definition]:
     A definition ends with its body, or with its line where it has none. Of several
     that begin at the same name, the first rule counts.
     """
+    if language == "ruby":
+        return _ruby(text)
     rules = _COMPILED.get(language)
     if not rules:
         return []
@@ -72,6 +114,9 @@ def definitions(text: str, language: str) -> list[Definition]:
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
             stop = re.compile(r"[{;]").search(bare, m.end(1))
             body = ends.get(stop.start()) if stop and stop.group() == "{" else None
+            if bare[m.start() : m.start() + 1] == "@":  # up to its @end
+                close = bare.find("@end", m.end())
+                body = close + 4 if close >= 0 else len(bare)
             if body is None and (kind in _NEEDS_BODY.get(language, ()) or stop is None):
                 continue
             found[m.start(1)] = (begin, body or stop.end(), kind, name)

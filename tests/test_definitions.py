@@ -36,3 +36,15 @@ def test_embedding(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "i int, t string")
     got = {r["i"]: r["v"] for r in df.select("i", embed.embed(F.col("t"), embed.HashingEmbedder(8)).alias("v")).collect()}
     assert got[2] is None and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and got[3] == [0.0] * 8
+
+
+def test_ruby():
+    text = "module Store\n  class Shelf < Base\n    # class Comment\n    def initialize(a)\n      @a = a if a\n      if a\n        each do |x|\n          puts \"end\"\n        end\n      end\n    end\n\n    def full? = @a > 3\n\n    def self.build\n      while true do\n        break\n      end\n    end\n  end\nend\n\ndef top\n  1\nend\n"
+    got = [(d.kind, d.name, d.container, d.start, d.end) for d in definitions(text, "ruby")]
+    assert got == [("module", "Store", None, 1, 21), ("class", "Shelf", "Store", 2, 20), ("method", "initialize", "Store::Shelf", 4, 11), ("method", "full?", "Store::Shelf", 13, 13), ("method", "build", "Store::Shelf", 15, 19), ("function", "top", None, 23, 25)]
+
+
+def test_objective_c():
+    text = "@interface Shelf : NSObject\n- (int)count;\n@end\n\n@implementation Shelf\n- (int)count {\n  return 1;\n}\n+ (Shelf *)make:(int)n {\n  return nil;\n}\n@end\n"
+    got = [(d.kind, d.name, d.container, d.start, d.end) for d in definitions(text, "objective-c")]
+    assert got == [("class", "Shelf", None, 1, 3), ("class", "Shelf", None, 5, 12), ("method", "count", "Shelf", 6, 8), ("method", "make", "Shelf", 9, 11)]
