@@ -1,8 +1,8 @@
 """Forests from parent-child rows, by distributed tree contraction.
 
 A round splices an independent set out of the unary chains of the live forest (a
-node with one child and a parent that is not spliced in the same round) and
-rakes every leaf. Each removal is recorded with the live node it hung from and the
+node with one child whose chance this round is higher than that of its neighbours
+in the chain) and rakes every leaf. Each removal is recorded with the live node it hung from and the
 nodes already spliced out between the two. The live part shrinks geometrically, so
 the number of rounds is logarithmic in the number of nodes, for deep chains as well
 as for wide stars. A core that no longer shrinks consists of self-loops: a circle of
@@ -53,7 +53,7 @@ def resolve_forest(links: DataFrame, with_path: bool = False, with_size: bool =
     """
     stage = Stage(links.sparkSession, "forest")
     nothing = F.array().cast("array<string>") if with_path else F.lit(0).cast("long")
-    live = _start(links).withColumn("between", nothing).withColumn("weight", F.lit(1).cast("long")).withColumn("load", F.lit(0).cast("long"))
+    live = stage.save(_start(stage.save(links.select("scope", "node", "parent")))).withColumn("between", nothing).withColumn("weight", F.lit(1).cast("long")).withColumn("load", F.lit(0).cast("long"))
     rounds: list[DataFrame] = []
     raked = None
     for number in range(_MAX_ROUNDS):
@@ -86,10 +86,12 @@ def _contract(live: DataFrame, raked: DataFrame | None, number: int, with_path:
         kids = kids.unionByName(raked.select("scope", "node", none.alias("child"), "add"))
     below = kids.groupBy("scope", "node").agg(F.count("child").alias("n"), F.min("child").alias("child"), F.sum("add").alias("add"))
     state = live.join(below, ["scope", "node"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("weight", F.col("weight") + F.coalesce("add", F.lit(0))).drop("add")
-    # Splicing: unary, not a root, not a self-loop, chosen by coin while its parent is not.
-    coin = F.pmod(F.xxhash64("scope", "node", F.lit(number)), F.lit(2)) == 0
-    heads = state.where((F.col("n") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node")) & coin)
-    spliced = heads.join(heads.select("scope", F.col("node").alias("parent")), ["scope", "parent"], "left_anti")
+    # Splicing: unary, not a root, not a self-loop, and of higher chance this round than such a parent or child.
+    chance = F.struct(F.xxhash64("scope", "node", F.lit(number)), "node")
+    heads = state.where((F.col("n") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).withColumn("chance", chance)
+    pairs = heads.select("scope", "node", "parent", "chance").join(heads.select("scope", F.col("node").alias("parent"), F.col("chance").alias("above")), ["scope", "parent"])
+    losers = pairs.select("scope", F.when(F.col("chance") < F.col("above"), F.col("node")).otherwise(F.col("parent")).alias("node"))
+    spliced = heads.join(losers, ["scope", "node"], "left_anti")
     above = F.struct(F.col("node").alias("gone"), F.col("parent").alias("up"), "between", (F.col("weight") + F.col("load")).alias("load"))
     # A spliced node's child is never spliced itself, so each node has one mark at most.
     marks = spliced.select("scope", F.explode(F.array(F.struct("node", F.lit(None).cast(_above_type(with_path)).alias("above")), F.struct(F.col("child.node").alias("node"), above.alias("above")))).alias("m")).select("scope", "m.node", "m.above", F.lit(True).alias("marked"))
